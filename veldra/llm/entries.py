@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import sentencepiece_codec, token_counts
+from veldra.llm import sentencepiece_codec, simhash, token_counts
 from veldra.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -21,10 +21,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_counts": op5_token_counts,
         "op7_sentencepiece": op7_sentencepiece,
+        "op9_simhash": op9_simhash,
     }
 
 
