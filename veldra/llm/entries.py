@@ -7,16 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import sentencepiece_codec, simhash, token_counts
+from veldra.llm import packing, sentencepiece_codec, simhash, token_counts
 from veldra.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
+WORDS = "word_bpe_49k.json"
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -28,6 +33,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_counts": op5_token_counts,
+        "op6_packing": op6_packing,
         "op7_sentencepiece": op7_sentencepiece,
         "op9_simhash": op9_simhash,
     }

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from veldra.llm.common import text_or_empty
 from veldra.llm.unigram import BYTE, CONTROL, MARK, UNKNOWN, Segmenter, vocabulary
@@ -143,7 +144,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, ids`` (array of int) for each row."""
     import pyarrow as pa
 
-    schema = docs.select("doc_id").schema.add("ids", "array<int>")
+    schema = docs.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         c = codec(model_path)
