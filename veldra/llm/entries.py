@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import packing, sentencepiece_codec, simhash, token_counts
+from veldra.llm import impact_search, packing, sentencepiece_codec, simhash, token_counts
 from veldra.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
 
 
+def op1_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"), divisor=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -32,6 +36,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_search": op1_exact_search,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
         "op7_sentencepiece": op7_sentencepiece,
