@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import impact_search, packing, sentencepiece_codec, simhash, token_counts
+from veldra.llm import hilbert_search, impact_search, packing, sentencepiece_codec, simhash, token_counts
 from veldra.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op1_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.top_k(table(spark, sf_dir, "embeddings"), divisor=100)
 
 
+def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.nearest(table(spark, sf_dir, "embeddings"), divisor=20)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -37,6 +41,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_search": op1_exact_search,
+        "op2_hilbert_neighbours": op2_hilbert_neighbours,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
         "op7_sentencepiece": op7_sentencepiece,
