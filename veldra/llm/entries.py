@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import hilbert_search, impact_search, packing, sentencepiece_codec, simhash, token_counts
+from veldra.llm import hilbert_search, impact_search, license_scan, packing, sentencepiece_codec, simhash, token_counts
 from veldra.llm.common import table
+from veldra.llm.license_texts import TEMPLATES
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
@@ -22,6 +23,10 @@ def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.nearest(table(spark, sf_dir, "embeddings"), divisor=20)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_search": op1_exact_search,
         "op2_hilbert_neighbours": op2_hilbert_neighbours,
+        "op4_license_scan": op4_license_scan,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
         "op7_sentencepiece": op7_sentencepiece,
