@@ -147,6 +147,19 @@ def stream_cuts(position: int, length: int, total: int, window: int = WINDOW) ->
     return out
 
 
+def portions(texts, chars: int = 1 << 20):
+    """Lists of texts of about so many characters, or of one longer text."""
+    some, size = [], 0
+    for x in texts:
+        some.append(x.as_py())
+        size += len(some[-1])
+        if size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) -> DataFrame:
     """``doc_id, text_hash, doc_tokens, rest, wholes, crcs, rest_crc, uid``: numbers only, no ids."""
     import pyarrow as pa
@@ -156,11 +169,15 @@ def _tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
 
     def run(batches):
         tokenizer = word_tokenizer(tokenizer_path)
+
+        def encoded(texts):
+            for some in portions(texts):
+                for ids in tokenizer.batch(some):
+                    yield ids + tail
+
         for b in batches:
             n, crcs, rest_crc = [], [], []
-            for x in b.column(2):
-                (ids,) = tokenizer.batch([x.as_py()])
-                ids += tail
+            for ids in encoded(b.column(2)):
                 whole = len(ids) // step * step
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[k : k + step]) for k in range(0, whole, step)])
