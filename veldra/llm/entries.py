@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import hilbert_search, impact_search, license_scan, packing, quality, sentencepiece_codec, simhash, token_counts, toxicity
+from veldra.llm import hilbert_search, impact_search, license_scan, packing, pii, quality, sentencepiece_codec, simhash, token_counts, toxicity
 from veldra.llm.common import table
 from veldra.llm.license_texts import TEMPLATES
 
@@ -23,6 +23,15 @@ def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.nearest(table(spark, sf_dir, "embeddings"), divisor=20)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's secret; the default is for tests and checks only."""
+    return spark.conf.get("spark.veldra.pii.key", "not a secret")
+
+
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
 
@@ -55,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_search": op1_exact_search,
         "op2_hilbert_neighbours": op2_hilbert_neighbours,
+        "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op4_license_scan": op4_license_scan,
         "op5_token_counts": op5_token_counts,
         "op6_packing": op6_packing,
