@@ -185,6 +185,7 @@ def _tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
             total = np.array(n, np.int64)
             columns = [b.column(0), b.column(1), pa.array(total), pa.array(total % window), pa.array(total // window), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest_crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+        tokenizer.forget()
 
     text = text_or_empty()
     made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, schema)
@@ -292,5 +293,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                     start += size
             table = np.array(out, np.int64).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, id_type)), *[pa.array(table[:, c]) for c in range(6)]], names)
+        tokenizer.forget()
 
     return whole.unionByName(both.mapInArrow(again, schema))

@@ -150,6 +150,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         c = codec(model_path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(x.as_py()) for x in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        c.segments.forget()
 
     return docs.select("doc_id", text_or_empty()).mapInArrow(run, schema)
 
@@ -187,5 +188,6 @@ def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
                 crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
                 same.append(c.decode(ids) == text.replace(MARK, " "))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+        c.segments.forget()
 
     return docs.select("doc_id", text_or_empty()).mapInArrow(run, schema)

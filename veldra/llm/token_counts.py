@@ -72,5 +72,6 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
         count = counter(model_path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(x.as_py()) for x in b.column(1)], pa.int64())], ["doc_id", "n_tokens"])
+        count.segments.forget()
 
     return docs.select("doc_id", text_or_empty()).mapInArrow(run, schema)

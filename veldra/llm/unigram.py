@@ -99,6 +99,11 @@ class Segmenter:
         self.pattern = re.compile(f"{MARK}+[^{MARK}{cut}]*|[^{MARK}{cut}]+|\n+" if cut else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.quick = vocabulary.splits_at_mark and vocabulary.splits_at_newline and vocabulary.add_dummy_prefix
 
+    def forget(self) -> None:
+        """At the end of a task: workers are used again, by operators that need the memory."""
+        self.words.clear()
+        self.others.clear()
+
     def _keep(self, memo: dict, key: str, made: object) -> object:
         if len(key) <= MEMO_CHARS:
             if len(memo) >= MEMO:

@@ -60,6 +60,11 @@ class WordTokenizer:
         data, at = ids.tobytes(), (4 * ends).tolist()
         return [data[a:b] for a, b in zip([0, *at], at, strict=False)]
 
+    def forget(self) -> None:
+        """At the end of a task: workers are used again, by operators that need the memory."""
+        self.words.clear()
+        self.stems.clear()
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.words
