@@ -1,0 +1,167 @@
+"""op5, op6 and op7 against the libraries and brute force."""
+
+import itertools
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from veldra.llm import packing, sentencepiece_codec, token_counts
+from veldra.llm.unigram import MARK, vocabulary
+from veldra.llm.word_bpe import WordTokenizer
+
+PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+TEXTS = ["", " ", "  a", "a  b \n c\n\n", f"{MARK}x {MARK}{MARK}", "日本語テスト😀 \t zż", "\n\n", "a ", "x" * 500, " a", "The quick brown fox.\nJumps", "ÀÉ ñandú's 12,5%", "a\x00b\x1fc"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=vocabulary(PIECES).unigram_model())
+
+
+def agree(library, text):
+    ids = library.encode(text)
+    codec = sentencepiece_codec.codec(PIECES)
+    assert codec.encode(text) == ids
+    assert token_counts.counter(PIECES)(text) == len(ids)
+    assert codec.decode(ids) == library.decode(ids) == text.replace(MARK, " ")
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_unigram_agrees_with_the_library(library, text):
+    agree(library, text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abthe n\n▁.,é日 "), st.characters(exclude_categories=["Cs"], exclude_characters="\x00")), max_size=60))
+def test_unigram_agrees_on_any_text(library, text):
+    agree(library, text)
+
+
+def test_whole_documents(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, PIECES).collect()}
+    digests = {r["doc_id"]: r for r in sentencepiece_codec.encode_digest(docs, PIECES).collect()}
+    assert set(counts) == set(digests) == set(texts)
+    for k, text in texts.items():
+        ids = library.encode(text)
+        assert counts[k] == digests[k]["n_ids"] == len(ids)
+        assert digests[k]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes()) and digests[k]["round_trip"]
+
+
+EDGES = [(None, "null id", 1), (1, None, 1), (2, "", 1), (3, "same", 1), (3, "same", 1), (4, "long " * 30000, 1)]
+
+
+def test_unigram_edges(spark):
+    docs = spark.createDataFrame(EDGES, "doc_id long, text string, n_tokens int")
+    got = [tuple(r) for r in token_counts.count_tokens(docs, PIECES).collect()]
+    assert {(1, 0), (2, 0)} <= set(got) and len(got) == 6 and len({x for x in got if x[0] == 3}) == 1
+    encoded = sentencepiece_codec.encode(docs, PIECES)
+    assert sorted(r["text"] for r in sentencepiece_codec.decode(encoded, PIECES).collect()) == sorted(t or "" for _, t, _ in EDGES)
+    assert token_counts.count_tokens(docs.limit(0), PIECES).collect() == []
+    assert sentencepiece_codec.encode_digest(docs.limit(0), PIECES).collect() == []
+
+
+def test_double_array():
+    keys = [b"a", b"ab", b"abc", b"b", b"\xff\x00", b"\x00"]
+    trie = sentencepiece_codec.DoubleArray([(k, i) for i, k in enumerate(keys)])
+    assert list(trie.prefixes(b"xabcd", 1)) == [(1, 0), (2, 1), (3, 2)]
+    assert list(trie.prefixes(b"\xff\x00", 0)) == [(2, 4)] and list(trie.prefixes(b"\x00\x00", 0)) == [(1, 5)] and list(trie.prefixes(b"zz", 0)) == []
+
+
+def ids_of(tokenizer, text):
+    return np.frombuffer(tokenizer.batch([text])[0], "<u4").tolist()
+
+
+def test_word_ids_agree_around_every_character():
+    tokenizer = WordTokenizer(WORDS)
+    for c in itertools.chain(range(0x3100), range(0xA000, 0xA100), range(0xF900, 0x10000), range(0x1D400, 0x1D440), range(0x1F600, 0x1F640)):
+        if not 0xD800 <= c < 0xE000:
+            x = f"ab{chr(c)}cd'S e{chr(c)}́ q{chr(c)}, {chr(c)}. W{chr(c)}'s!"
+            assert ids_of(tokenizer, x) == tokenizer.tokenizer.encode(x, add_special_tokens=False).ids, hex(c)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abcDE'st .,!\n0<|endoftext|>É́"), st.characters(exclude_categories=["Cs"])), max_size=50))
+def test_word_ids_agree_on_any_text(text):
+    tokenizer = _shared()
+    assert ids_of(tokenizer, text) == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+_TOKENIZERS = []
+
+
+def _shared():
+    if not _TOKENIZERS:
+        _TOKENIZERS.append(WordTokenizer(WORDS))
+    return _TOKENIZERS[0]
+
+
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), max_size=4), st.integers(0, 30))
+def test_fill_is_the_closest_sum(counts, room):
+    total, chosen = packing.fill(counts, room)
+    items = [x for x, n in counts.items() for _ in range(n)]
+    sums = {sum(c) for k in range(len(items) + 1) for c in itertools.combinations(items, k)}
+    assert total == max(s for s in sums if s <= room) == sum(x * k for x, k in chosen.items())
+    assert all(k <= counts[x] for x, k in chosen.items())
+
+
+@given(st.integers(0, 100), st.integers(1, 40), st.integers(0, 60))
+def test_stream_cuts(position, length, after):
+    cuts = packing.stream_cuts(position, length, position + length + after, 16)
+    assert sum(n for _, _, n in cuts) == length and all(0 <= o and o + n <= 16 for _, o, n in cuts)
+
+
+def check_packing(rows, ids, window):
+    """All the contract's conditions; the padding."""
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    assert set(by_doc) == set(ids)
+    for k, pieces in by_doc.items():
+        at, own = 0, ids[k]
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(own)
+            assert r["ids_crc32"] == zlib.crc32(own[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(own)
+    padding = 0
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at and r["length"] > 0
+            at += r["length"]
+        assert at <= window
+        padding += 0 if at.bit_count() == 1 else window - at
+    return padding
+
+
+@pytest.mark.parametrize("window", [64, 4096])
+def test_packing(spark, window):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tokenizer = _shared().tokenizer
+    ids = {r["doc_id"]: np.array(tokenizer.encode(r["text"], add_special_tokens=False).ids + [2], "<u4") for r in docs.collect()}
+    assert check_packing(packing.pack(docs, WORDS, window).collect(), ids, window) == 0
+
+
+def test_packing_when_nothing_fits(spark):
+    texts = {k: "word " * 2999 for k in range(5)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = {k: np.array(_shared().tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4") for k, t in texts.items()}
+    rows = packing.pack(docs, WORDS).collect()
+    assert check_packing(rows, ids, 4096) == 0 and len({r["sequence_id"] for r in rows}) == 3 + (15000 - 3 * 4096).bit_count()
+
+
+def test_packing_edges(spark):
+    docs = spark.createDataFrame([(None, "a", 0), (1, None, 0), (2, "", 0), (3, "same text", 0), (3, "same text", 0)], "doc_id long, text string, length int")
+    rows = packing.pack(docs, WORDS).collect()
+    assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == [("1", 1), ("2", 1), ("3", 3), ("3", 3), ("None", 2)]
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 5
+    assert packing.pack(docs.limit(0), WORDS).collect() == []
