@@ -32,8 +32,8 @@ TOP = 10
 #: Rows of an index block, and queries of a query block.
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
-#: Distinct quantised values of a dimension in a block.
-LEVELS = 32
+#: Quantised values of a dimension in a block, at most: half of equal numbers of rows, half of equal ranges.
+LEVELS = 48
 #: Prefixes of the postings after which the bounds are tested.
 TESTS = (0.25, 0.5, 0.75, 1.0)
 #: Candidates that may be left to rescore when the search stops.
@@ -50,7 +50,10 @@ class Block:
         at = 0
         for j in range(d):
             by_value = np.argsort(v[:, j], kind="stable")
-            edges = np.unique(np.linspace(0, n, min(LEVELS, n) + 1).astype(int))
+            values = v[by_value, j]
+            depth = np.linspace(0, n, LEVELS // 2 + 1).astype(int)
+            height = np.searchsorted(values, np.linspace(values[0], values[-1], LEVELS // 2 + 1)) if n else depth
+            edges = np.unique(np.concatenate([depth, height]))
             for a, b in zip(edges, edges[1:], strict=False):
                 rows = by_value[a:b]
                 lows.append(v[rows[0], j])
