@@ -33,7 +33,8 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
+    return found.select("doc_id", "license", "containment", "first_word")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +76,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Every pair of a query and another row.
+SEARCH_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def license_sql() -> str:
+    """Containment of each template in each document, by all of their shingles."""
+    shingles = lambda name, text: f"SELECT *, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS s FROM (SELECT {name}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in TEMPLATES.items())
+    return f"""
+WITH d AS ({shingles("doc_id", "text")} FROM documents)),
+t AS ({shingles("license", "text")} FROM (VALUES {templates}) x(license, text))),
+ts AS (SELECT DISTINCT license, unnest(s) AS s FROM t),
+n AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+ds AS (SELECT doc_id, unnest(s) AS s, unnest(range(0, len(s))) AS k FROM d),
+h AS (SELECT doc_id, license, count(DISTINCT ds.s) AS hit, min(k) AS first_word FROM ds JOIN ts ON ds.s = ts.s GROUP BY doc_id, license)
+SELECT doc_id, h.license, CAST(hit AS DOUBLE) / n AS containment, first_word FROM h JOIN n ON h.license = n.license WHERE hit >= 0.8 * n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express; the others are tested against brute force."""
+    return {"op1_exact_search": SEARCH_SQL, "op4_license_scan": license_sql()}
