@@ -249,11 +249,46 @@ def test_save_and_load(spark, engine, run):
     engine.sql("DELETE FROM p WHERE id > 0;")
     engine.save()
     assert again.sql("SELECT * FROM p;").frame.count() == 5
-    assert engine.catalog.vacuum() == 5
+    assert engine.catalog.vacuum() == 4
     assert run("SELECT id FROM p;") == [(0,)]
     assert Engine(spark, engine.catalog.folder + "-none").load() == 0
 
 
+def test_changes_write_touched_files_only(engine, run):
+    run("CREATE TABLE k (a INTEGER);", *[f"INSERT INTO k VALUES ({10 * k}), ({10 * k + 1});" for k in range(4)])
+    before = engine.catalog.table("k").segments
+    run("UPDATE k SET a = 99 WHERE a = 11;")
+    after = engine.catalog.table("k").segments
+    assert [s in after for s in before] == [True, False, True, True] and len(after) == 4
+    assert run("SELECT a FROM k;") == [(0,), (1,), (10,), (99,), (20,), (21,), (30,), (31,)]
+    run("DELETE FROM k WHERE a > 20 AND a < 31;", "UPDATE k SET a = 5 WHERE a = 1000;")
+    assert engine.catalog.table("k").segments[0] == before[0] and engine.catalog.table("k").rows == 6
+    engine.catalog.vacuum()
+    assert run("SELECT a FROM k;") == [(0,), (1,), (10,), (99,), (20,), (31,)]
+
+
+def test_a_file_of_many_is_replaced(spark, engine, run):
+    engine.register_frame("r", spark.range(100).repartitionByRange(5, "id").selectExpr("cast(id as int) as a", "cast(id as int) as `b c`"))
+    engine.copy_table("k", "r")
+    run("UPDATE k SET a = -1 WHERE a = 3;")
+    segments = engine.catalog.table("k").segments
+    assert len(segments) > 3 and sum(s.endswith(".parquet") for s in segments) == len(segments) - 1
+    engine.save()
+    again = Engine(spark, engine.catalog.folder)
+    again.load()
+    assert sorted(r[0] for r in again.sql("SELECT a FROM k;").collect()) == sorted({*range(100)} - {3} | {-1})
+    engine.catalog.vacuum()
+    assert len(run("SELECT a FROM k;")) == 100 and engine.sql("DELETE FROM k WHERE a >= 0;").message == "99 row(s) deleted."
+    assert run("SELECT * FROM k;") == [(-1, 3)]
+
+
+def test_null_mode_of_changes(spark):
+    for mode, n in (("three_valued", 1), ("two_valued", 2)):
+        engine = Engine(spark, null_mode=mode)
+        engine.register_frame("n", spark.createDataFrame([(None,), (1,), (7,)], "a int"))
+        assert engine.sql("DELETE FROM n WHERE a <= 5;").message == f"{n} row(s) deleted."
+
+
 def test_many_inserts_are_merged(engine, run):
     run("CREATE TABLE m (a INTEGER);", *[f"INSERT INTO m VALUES ({k});" for k in range(40)])
     assert len(engine.catalog.table("m").segments) < 20

@@ -131,9 +131,9 @@ class Engine:
             case N.Insert():
                 return Result(True, f"{change.insert(self.catalog, s)} row(s) inserted.")
             case N.Update():
-                return Result(True, f"{change.update(self.catalog, s)} row(s) updated.")
+                return Result(True, f"{change.update(self.catalog, s, self.null_mode)} row(s) updated.")
             case N.Delete():
-                return Result(True, f"{change.delete(self.catalog, s)} row(s) deleted.")
+                return Result(True, f"{change.delete(self.catalog, s, self.null_mode)} row(s) deleted.")
             case N.CreateIndex():
                 self.catalog.create_index(Index(s.index, s.table, s.column))
                 return Result(True, f"Index '{s.index}' created on {s.table}({s.column}).")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldra.dialect.nodes import Delete, Expression, Insert, Literal, Update
@@ -83,11 +85,36 @@ def _scope(table: Table) -> Scope:
     return Scope(fields_of(table.name, table.types, "c"))
 
 
-def update(catalog: Catalog, statement: Update) -> int:
-    """Right-hand sides see the old row; of repeated targets the last counts."""
+def _touched(catalog: Catalog, table: Table, predicate: Column) -> dict[str, int]:
+    """Files with rows that the predicate is true for, and how many; the predicate is pushed down, so statistics skip most others."""
+    by_file = catalog.scan(table).where(predicate).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    return {r["file"]: r["n"] for r in by_file.collect()} if table.segments else {}
+
+
+def _replaced(catalog: Catalog, table: Table, files: list[str], rows: Callable[[DataFrame], DataFrame]) -> tuple[str, ...]:
+    """Segments with the rows of ``files`` written anew and all other files as they are."""
+    path = catalog.new_folder(table.name, "v")
+    schema = catalog.stored(table.columns)
+    rows(catalog.scan(replace(table, segments=tuple(files)))).toDF(*schema.names).write.parquet(path)
+    gone, kept = {_key(f) for f in files}, []
+    for segment in table.segments:
+        own = [f for f in catalog.files(segment) if _key(f) not in gone]
+        whole = catalog.files(segment)
+        kept += [segment] if len(own) == len(whole) else own
+    return (*kept, path)
+
+
+def _key(path: str) -> str:
+    """Folder and name, which are the same however a path is written."""
+    return "/".join(unquote(path).rsplit("/", 2)[-2:])
+
+
+def update(catalog: Catalog, statement: Update, null_mode: str = "three_valued") -> int:
+    """Right-hand sides see the old row; of repeated targets the last counts. Files without a hit stay."""
     table = catalog.table(statement.table)
-    lower = Lowering(_scope(table))
-    hit = F.lit(True) if statement.where is None else F.coalesce(lower.predicate(statement.where), F.lit(False))
+    lower = Lowering(_scope(table), null_mode)
+    predicate = F.lit(True) if statement.where is None else lower.predicate(statement.where)
+    hit = F.coalesce(predicate, F.lit(False))
     new: dict[int, Typed] = {}
     for target, e in statement.assignments:
         k = table.position(target)
@@ -96,25 +123,26 @@ def update(catalog: Catalog, statement: Update) -> int:
         new[k] = lower(e)
         _fits(table, k, new[k])
     table = own(catalog, statement.table)
-    if not table.rows:
-        return 0
-    columns = [F.when(hit, new[k].column.cast(c.kind)).otherwise(F.col(f"c{k}")).alias(f"c{k}") if k in new else F.col(f"c{k}") for k, c in enumerate(table.columns)]
-    seen = Observation()
-    rows = catalog.scan(table).observe(seen, F.count_if(hit).alias("n"))
-    path = catalog.new_folder(table.name, "v")
-    rows.select(*columns, F.col(f"c{RID}").alias(RID)).write.parquet(path)
-    catalog.publish(replace(table, version=table.version + 1, segments=(path,)))
-    return seen.get["n"]
+    touched = _touched(catalog, table, predicate)
+    if touched:
+        columns = [F.when(hit, new[k].column.cast(c.kind)).otherwise(F.col(f"c{k}")).alias(f"c{k}") if k in new else F.col(f"c{k}") for k, c in enumerate(table.columns)]
+        segments = _replaced(catalog, table, list(touched), lambda rows: rows.select(*columns, f"c{RID}"))
+        catalog.publish(replace(table, version=table.version + 1, segments=segments))
+    return sum(touched.values())
 
 
-def delete(catalog: Catalog, statement: Delete) -> int:
-    """Rows for which the predicate is true go; the others keep their order."""
+def delete(catalog: Catalog, statement: Delete, null_mode: str = "three_valued") -> int:
+    """Rows for which the predicate is true go; the others keep their order, and files without a hit stay."""
     table = catalog.table(statement.table)
-    hit = F.lit(True) if statement.where is None else F.coalesce(Lowering(_scope(table)).predicate(statement.where), F.lit(False))
+    if statement.where is None:
+        n = catalog.count(table)
+        catalog.publish(replace(table, version=table.version + 1, segments=(), rows=0, path=None, frame=None))
+        return n
+    predicate = Lowering(_scope(table), null_mode).predicate(statement.where)
     table = own(catalog, statement.table)
-    schema = catalog.stored(table.columns)
-    path = catalog.new_folder(table.name, "v")
-    catalog.scan(table).where(~hit).toDF(*schema.names).write.parquet(path)
-    left = catalog.spark.read.schema(schema).parquet(path).count()  # from the files' footers
-    catalog.publish(replace(table, version=table.version + 1, segments=(path,), rows=left))
-    return table.rows - left
+    touched = _touched(catalog, table, predicate)
+    gone = sum(touched.values())
+    if touched:
+        segments = _replaced(catalog, table, list(touched), lambda rows: rows.where(~F.coalesce(predicate, F.lit(False))))
+        catalog.publish(replace(table, version=table.version + 1, segments=segments, rows=table.rows - gone))
+    return gone

@@ -1,6 +1,6 @@
 """The catalog: tables, their snapshots, and indexes.
 
-A managed table is a list of Parquet folders (segments), with columns ``c0, c1, ..`` and the
+A managed table is a list of Parquet folders or files (segments), with columns ``c0, c1, ..`` and the
 hidden row number ``__rid`` of insertion order. Statements write new segments and then publish a
 new version of the entry; a folder that is being read is never written, and a failed statement
 publishes nothing. Registered tables are Parquet paths or DataFrames of others; a statement that
@@ -104,6 +104,10 @@ class Catalog:
     def stored(self, columns: tuple[Column, ...]) -> T.StructType:
         return T.StructType([*(T.StructField(f"c{k}", c.kind) for k, c in enumerate(columns)), T.StructField(RID, T.LongType())])
 
+    def files(self, segment: str) -> list[str]:
+        """Data files of a segment, which may be a file itself."""
+        return [segment] if segment.endswith(".parquet") else [p for p in self.store.children(segment) if p.endswith(".parquet")]
+
     def scan(self, table: Table, prefix: str = "c") -> DataFrame:
         """Columns ``<prefix>0, ..`` and, of managed tables, ``<prefix>__rid``."""
         if not table.managed:
@@ -188,8 +192,8 @@ class Catalog:
 
     def vacuum(self) -> int:
         """Deletes the folders that no table or index refers to any more; results read earlier must not be in use."""
-        used = {p for t in self.tables.values() for p in t.segments} | {x.path for x in self.indexes.values()}
-        keep = {u.rstrip("/").rsplit("/", 2)[-2] + "/" + u.rstrip("/").rsplit("/", 1)[-1] for u in used if u}
+        used = {p.rsplit("/", 1)[0] if p.endswith(".parquet") else p for t in self.tables.values() for p in t.segments} | {x.path for x in self.indexes.values()}
+        keep = {"/".join(u.rstrip("/").rsplit("/", 2)[-2:]) for u in used if u}
         gone = 0
         for folder in self.store.children(self.folder):
             for path in self.store.children(folder) if not folder.endswith(f"/{FILE}") else ():
