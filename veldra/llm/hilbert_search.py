@@ -96,10 +96,9 @@ def nearest(vectors: DataFrame, divisor: int, k: int = TOP, curves: int = CURVES
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["vec_id", "data"])
 
     rows = checkpoint(rows.mapInArrow(packed, "vec_id long, data binary"))
-    # of equal vectors the k + 1 least ids: within each task's share first, by a salt, then over all
-    part = rows.groupBy("data", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    distinct = part.groupBy("data").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    distinct = checkpoint(distinct.select("data", "ids", F.array_min("ids").alias("first")))
+    # of equal vectors the k + 1 least ids; Spark applies the limit within each task before the shuffle too
+    least = rows.withColumn("r", F.row_number().over(Window.partitionBy("data").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    distinct = checkpoint(least.groupBy("data").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("data", "ids", F.array_min("ids").alias("first")))
     size = distinct.agg(F.count("*").alias("n"), F.max(F.octet_length("data")).alias("most")).first()
     n, dims = size["n"], (size["most"] or 8) // 8
     around = max(1, round(reach * n / WINDOW_ROWS))
