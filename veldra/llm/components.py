@@ -11,11 +11,11 @@ from veldra.llm.common import checkpoint
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     """One round. Large: each neighbour above u is linked to u's least neighbour; small: u and its lesser ones are.
 
-    The least neighbour is a grouped minimum (combined before the shuffle) joined back to the
-    pairs, so that no task holds the neighbours of a hub.
+    The least neighbour is a grouped minimum (combined before the shuffle), read anew and joined
+    back to the pairs, so that Spark can split the partition of a hub's neighbours.
     """
     sides = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-    least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = checkpoint(sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     joined = sides.join(least, "a")
     linked = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return linked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

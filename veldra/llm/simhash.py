@@ -97,9 +97,8 @@ def _keys(distance: int) -> Column:
     for i, (at, width) in enumerate(parts):
         nxt, wide = parts[(i + 1) % len(parts)]
         low = wide // 2
-        halves = [(nxt, low), (nxt + low, wide - low)] if distance else [(nxt, 0)]
-        for h, (start, size) in enumerate(halves):
-            key = (_bits(at, width) if width < 64 else F.xxhash64("fp")) * (1 << size) + (_bits(start, size) if size else F.lit(0))
+        for h, (start, size) in enumerate([(nxt, low), (nxt + low, wide - low)]):
+            key = _bits(at, width) * (1 << size) + _bits(start, size)
             out.append(key * (2 * len(parts)) + (2 * i + h))
     return F.array(*out)
 
@@ -158,6 +157,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     import pyarrow as pa
 
+    if not distance:
+        return fps.sparkSession.createDataFrame([], "a long, b long")
     chains = [chain_masks(i, distance) for i in range(distance + 1)]
     keyed = fps.select("fp").distinct().select("fp", F.explode(_keys(distance)).alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -202,9 +203,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     nodes = each.groupBy("fp").agg(F.min(first).alias("first"))
     roots = connected(links(each, distance))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    of = rooted.select("fp", "root").join(least, "root").select("fp", "least")
+    # Both sides of the last joins are read anew, so that Spark can split a large group's partition.
+    rooted = checkpoint(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("least")))
+    of = checkpoint(rooted.select("fp", "root").join(least, "root").select("fp", "least"))
     return each.join(of, "fp").select(
         "doc_id",
         "text_hash",
