@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,9 +17,13 @@ from veldra.errors import CatalogError, EngineError, ExecutionError
 from veldra.operators import change, select
 from veldra.plans import access
 from veldra.sources.catalog import Catalog, Column, Index, Table
+from veldra.sources.index import SortedIndex
 from veldra.types import SPARK_TYPE, show_value
 
 
+log = logging.getLogger("veldra")
+
+
 def _reason(e: PySparkException) -> str:
     return "Division by zero" if "Division by zero" in str(e) else str(e)
 
@@ -110,6 +115,7 @@ class Engine:
         return self.execute(parse(text))
 
     def execute(self, statement: N.Statement) -> Result:
+        log.debug("%s", statement)
         try:
             return self._run(statement)
         except EngineError as e:
@@ -157,6 +163,10 @@ class Engine:
 
     # catalog
 
+    def index(self, name: str) -> SortedIndex:
+        """Lookups and ranges by an index, as DataFrames."""
+        return SortedIndex(self.catalog, name)
+
     def show_tables(self) -> DataFrame:
         """``name, row_count, columns``."""
         rows = [(t.name, self.catalog.count(t), ", ".join(c.name for c in t.columns)) for t in self.catalog.tables.values()]

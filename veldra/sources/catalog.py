@@ -137,6 +137,10 @@ class Catalog:
         self.indexes[index.name] = index
         self._changed()
 
+    def is_current(self, index: Index) -> bool:
+        """Whether the copy has been made since the table last changed."""
+        return index.path is not None and index.version == self.table(index.table).version
+
     def index_copy(self, index: Index, prefix: str = "c") -> DataFrame:
         """The table without null keys, range-partitioned and sorted by the indexed column.
 
@@ -146,7 +150,7 @@ class Catalog:
         """
         table = self.table(index.table)
         names = [f"c{k}" for k in range(len(table.columns))]
-        if index.path is None or index.version != table.version:
+        if not self.is_current(index):
             key = f"c{table.position(index.column)}"
             path = self.new_folder(table.name, "index")
             rows = self.scan(table).where(F.col(key).isNotNull())
