@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +41,26 @@ def free_name(taken: Iterable[str], base: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def release() -> None:
+    """Gives memory back to the system. Python workers live on and are used by other operators."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A function of a task's batches that releases its memory at the end."""
+
+    def go(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return go

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veldra.llm.common import text_or_empty
+from veldra.llm.common import released, text_or_empty
 from veldra.llm.unigram import BYTE, CONTROL, MARK, UNKNOWN, Segmenter, vocabulary
 
 
@@ -71,7 +71,7 @@ class DoubleArray:
         self.value += [-1] * short
 
     def prefixes(self, text: bytes, start: int):
-        """(length, value) of each key that text[start:] begins with, shortest first."""
+        """(length, value) of each key that text[start:] begins with, shortest first; the codec's loop does the same in place."""
         base, check, value, state = self.base, self.check, self.value, 0
         for k in range(start, len(text)):
             t = base[state] + text[k] + 1
@@ -97,37 +97,46 @@ class Codec:
             return b""
         return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
-    def segment(self, s: str) -> tuple[int, ...]:
-        """Forward Viterbi by start; a later candidate must be strictly better, so the earliest start keeps a tie."""
+    def segment(self, s: str) -> bytes:
+        """Little-endian ids by forward Viterbi; a later candidate must be strictly better, so the earliest start keeps a tie."""
         text, scores, unknown = s.encode(), self.v.scores, self.v.unknown
-        n, low = len(text), float("-inf")
-        best, back = [low] * (n + 1), [(0, -1)] * (n + 1)
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        n, low, at = len(text), float("-inf"), 0
+        best, start, piece = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        at = 0
         for ch in s:
-            width, here, single = len(ch.encode()), best[at], False
-            for length, i in self.trie.prefixes(text, at):
-                total = here + scores[i]
-                if total > best[at + length]:
-                    best[at + length], back[at + length] = total, (at, i)
-                single = single or length == width
-            if not single and here + unknown > best[at + width]:
-                best[at + width], back[at + width] = here + unknown, (at, -1)
-            at += width
+            here, k, state, end, single = best[at], at, 0, at + (1 if ch < "\x80" else len(ch.encode())), False
+            while k < n:
+                t = base[state] + text[k] + 1
+                if check[t] != state:
+                    break
+                state, k, i = t, k + 1, value[t]
+                if i >= 0:
+                    total = here + scores[i]
+                    if total > best[k]:
+                        best[k], start[k], piece[k] = total, at, i
+                    if k == end:
+                        single = True
+            if not single and here + unknown > best[end]:
+                best[end], start[end], piece[end] = here + unknown, at, -1
+            at = end
         out: list[int] = []
         while n:
-            start, i = back[n]
+            begin, i = start[n], piece[n]
             if i >= 0:
                 out.append(i)
             elif self.v.byte_fallback:
-                out += [self.v.byte_ids[c] for c in reversed(text[start:n])]
+                out += [self.v.byte_ids[c] for c in reversed(text[begin:n])]
             else:
                 out.append(self.v.unknown_id)
-            n = start
-        return tuple(reversed(out))
+            n = begin
+        return np.array(out[::-1], "<u4").tobytes()
+
+    def encode_bytes(self, text: str) -> bytes:
+        return b"".join(self.segments(text))
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.segments(text) for i in ids]
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Joins the surfaces; bytes that aren't UTF-8 become U+FFFD; the space of the dummy prefix goes."""
@@ -152,7 +161,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(x.as_py()) for x in b.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
         c.segments.forget()
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty()).mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -167,7 +176,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [None if x is None else c.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), schema)
 
 
 def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
@@ -183,11 +192,11 @@ def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
             n, crc, same = [], [], []
             for x in b.column(1):
                 text = x.as_py()
-                ids = c.encode(text)
-                n.append(len(ids))
-                crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
-                same.append(c.decode(ids) == text.replace(MARK, " "))
+                ids = c.encode_bytes(text)
+                n.append(len(ids) // 4)
+                crc.append(zlib.crc32(ids))
+                same.append(c.decode(np.frombuffer(ids, "<u4").tolist()) == text.replace(MARK, " "))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
         c.segments.forget()
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty()).mapInArrow(released(run), schema)

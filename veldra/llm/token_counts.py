@@ -11,7 +11,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from veldra.llm.common import text_or_empty
+from veldra.llm.common import released, text_or_empty
 from veldra.llm.unigram import Segmenter, vocabulary
 
 
@@ -74,4 +74,4 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(x.as_py()) for x in b.column(1)], pa.int64())], ["doc_id", "n_tokens"])
         count.segments.forget()
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty()).mapInArrow(released(run), schema)

@@ -61,9 +61,10 @@ class Vocabulary:
         self.unknown_id = self.types.index(UNKNOWN)
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.types[i] == BYTE}
         used = [self.pieces[i] for i in lattice]
-        #: No piece goes on past a mark that follows another character, nor holds a line feed.
-        self.splits_at_mark = not any(re.search(f"[^{MARK}]{MARK}", p) for p in used)
-        self.splits_at_newline = not any("\n" in p for p in used)
+        #: Neighbouring characters within pieces. Where two others meet, every path has a node.
+        self.pairs = {p[k : k + 2] for p in used for k in range(len(p) - 1)}
+        self.splits_at_mark = not any(pair[0] != MARK == pair[1] for pair in self.pairs)
+        self.splits_at_newline = not any("\n" in pair for pair in self.pairs)
 
     def lattice(self) -> list[tuple[int, str, float]]:
         return [(i, self.pieces[i], s) for i, s in enumerate(self.scores) if s is not None]
@@ -87,7 +88,7 @@ class Segmenter:
     """Cuts texts where no piece can cross, and remembers the value of each segment.
 
     ``value(segment)`` is called once for each distinct segment still in the memo; the values of
-    a text's segments, in order, are its result.
+    a text's segments, in order, are its result. Values can be added up, as numbers or bytes.
     """
 
     def __init__(self, vocabulary: Vocabulary, value: Callable[[str], object]):
@@ -95,14 +96,14 @@ class Segmenter:
         self.value = value
         self.words: dict[str, object] = {}
         self.others: dict[str, object] = {}
-        cut = "\n" if vocabulary.splits_at_newline else ""
-        self.pattern = re.compile(f"{MARK}+[^{MARK}{cut}]*|[^{MARK}{cut}]+|\n+" if cut else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.parts: dict[str, object] = {}
+        self.pattern = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.quick = vocabulary.splits_at_mark and vocabulary.splits_at_newline and vocabulary.add_dummy_prefix
 
     def forget(self) -> None:
         """At the end of a task: workers are used again, by operators that need the memory."""
-        self.words.clear()
-        self.others.clear()
+        for memo in (self.words, self.others, self.parts):
+            memo.clear()
 
     def _keep(self, memo: dict, key: str, made: object) -> object:
         if len(key) <= MEMO_CHARS:
@@ -111,17 +112,20 @@ class Segmenter:
             memo[key] = made
         return made
 
+    def _cut(self, s: str) -> object:
+        """Sum over the parts of a segment between which no piece can cross."""
+        pairs, parts, last, total = self.v.pairs, self.parts, 0, None
+        for k in [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in pairs] + [len(s)]:
+            part, last = s[last:k], k
+            made = parts.get(part)
+            if made is None:
+                made = self._keep(parts, part, self.value(part))
+            total = made if total is None else total + made
+        return total
+
     def _word(self, word: str) -> object:
         """Of a word after a space, or after a line feed that it begins with."""
-        if word[:1] != "\n":
-            return self._keep(self.words, word, self.value(MARK + word))
-        made, rest = self.value("\n"), word[1:]
-        for k, part in enumerate(rest.split("\n")):
-            if k:
-                made = made + self.value("\n")
-            if part:
-                made = made + self.value(part)
-        return self._keep(self.words, word, made)
+        return self._keep(self.words, word, self._cut(word if word[:1] == "\n" else MARK + word))
 
     def __call__(self, text: str) -> list:
         if not text:
@@ -136,11 +140,11 @@ class Segmenter:
                 return out
         marked = (MARK if self.v.add_dummy_prefix else "") + text.replace(" ", MARK)
         if not self.v.splits_at_mark:
-            return [self.value(marked)]
+            return [self._cut(marked)]
         out = []
         for segment in self.pattern.findall(marked):
             made = self.others.get(segment)
-            out.append(self._keep(self.others, segment, self.value(segment)) if made is None else made)
+            out.append(self._keep(self.others, segment, self._cut(segment)) if made is None else made)
         return out
 
 
