@@ -20,10 +20,10 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import checkpoint, free_name, text_or_empty
+from veldra.llm.common import checkpoint, free_name, released, text_or_empty
 from veldra.llm.components import connected
 
 WORDS = 4
@@ -33,6 +33,8 @@ DISTANCE = 4
 BLOCK = 2048
 #: Shingles hashed at a time.
 CHUNK = 1 << 16
+#: Keys of rows to drop that are broadcast at most.
+BROADCAST_KEYS = 200_000
 #: Up to this many fingerprints of a key are compared by shifts, more by search.
 SHORT_RUN = 24
 
@@ -67,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(released(run), schema)
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -190,7 +192,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             pairs = np.concatenate(out, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], ["a", "b"])
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("lo", "hi", "key").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("lo", "hi", "key").mapInArrow(released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -217,11 +219,27 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id, and of repeated rows one."""
-    from pyspark.sql import Window
-
-    hashed, n = free_name(docs.columns, "text_hash"), free_name(docs.columns, "row")
-    stays = near_duplicates(docs, distance).where("stays").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    rows = docs.withColumn(hashed, F.xxhash64(text_or_empty()))
-    rows = rows.join(stays, rows["doc_id"].eqNullSafe(stays["kept_id"]) & (rows[hashed] == stays["kept_hash"]), "left_semi")
-    return rows.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", hashed).orderBy(hashed))).where(F.col(n) == 1).drop(n, hashed)
+    """``docs`` with one row of each component: that of the least doc_id, and of repeated rows one.
+
+    Rows are known by doc_id and text hash. Up to BROADCAST_KEYS keys to act on are broadcast, so
+    that no text is shuffled; more meet the texts by one shuffle.
+    """
+    key, n = free_name(docs.columns, "row_key"), free_name(docs.columns, "row_number")
+    of = lambda i, h: F.struct(F.col(i).alias("i"), h.alias("h"))  # noqa: E731  in it null equals null
+    keys = near_duplicates(docs, distance).groupBy(of("doc_id", F.col("text_hash")).alias("k")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+    keys = checkpoint(keys)
+    acted = keys.where("not stays or n > 1")
+    rows = docs.withColumn(key, of("doc_id", F.xxhash64(text_or_empty())))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = lambda x: x.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*others, F.lit(0))))).where(F.col(n) == 1).drop(n)
+    met = lambda k: rows[key] == k["k"]
+    if acted.count() > BROADCAST_KEYS:
+        stays = keys.where("stays").select("k")
+        return first(rows.join(stays, met(stays), "left_semi")).drop(key)
+    acted = F.broadcast(acted.select("k"))
+    once = rows.join(acted, met(acted), "left_anti")
+    repeated = keys.where("stays and n > 1").select("k")
+    if repeated.isEmpty():
+        return once.drop(key)
+    repeated = F.broadcast(repeated)
+    return once.union(first(rows.join(repeated, met(repeated), "left_semi"))).drop(key)
