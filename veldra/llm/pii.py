@@ -1,7 +1,7 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame expressions only.
 
-Found in whole texts by one pattern: payment card numbers (13 to 19 digits, alone or in groups
-joined by single spaces or hyphens, with a valid Luhn digit), North American telephone numbers
+Found in whole texts by one pattern: payment card numbers (13 to 19 digits, alone or in groups of
+four or of 4, 6 and 5, joined by spaces or hyphens, with a valid Luhn digit), North American telephone numbers
 with +1, IPv4 addresses (octets up to 255), dates (ISO, or with slashes or dots; they must
 exist), and e-mail addresses. Each valid value is permuted by a keyed Feistel network within its
 format, so that equal values stay linked across documents and different ones stay different
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-_CARD = r"(?<![\p{L}\p{N}.\-+])(?:[0-9][ \-]?){12,18}[0-9](?![\p{L}\p{N}]|[.\-]\p{N})"
+_CARD = r"(?<![\p{L}\p{N}.\-+])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5})(?![\p{L}\p{N}]|[.\-]\p{N})"
 _PHONE = r"(?<![\p{L}\p{N}+])\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![\p{L}\p{N}])"
 _IP = r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])"
 _DATE = r"(?<![\p{L}\p{N}.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\p{L}\p{N}]|[.\-/][0-9])"
