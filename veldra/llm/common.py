@@ -43,11 +43,21 @@ def free_name(taken: Iterable[str], base: str) -> str:
     return name
 
 
+_settled = False
+
+
+def settle() -> None:
+    """Once a worker: keeps the collector off what it shares with its parent, so that those pages stay shared."""
+    global _settled
+    if not _settled:
+        gc.freeze()
+        _settled = True
+
+
 def release() -> None:
     """Gives memory back to the system. Python workers live on and are used by other operators."""
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -58,6 +68,7 @@ def released(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterat
     """A function of a task's batches that releases its memory at the end."""
 
     def go(batches: Iterable) -> Iterator:
+        settle()
         try:
             yield from run(batches)
         finally:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import checkpoint
+from veldra.llm.common import checkpoint, released
 from veldra.llm.impact_search import usable
 from veldra.llm.ranking import positioned
 
@@ -95,7 +95,7 @@ def nearest(vectors: DataFrame, divisor: int, k: int = TOP, curves: int = CURVES
             data = [np.trim_zeros(np.array(x) + 0.0, "b").tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["vec_id", "data"])
 
-    rows = checkpoint(rows.mapInArrow(packed, "vec_id long, data binary"))
+    rows = checkpoint(rows.mapInArrow(released(packed), "vec_id long, data binary"))
     # of equal vectors the k + 1 least ids; Spark applies the limit within each task before the shuffle too
     least = rows.withColumn("r", F.row_number().over(Window.partitionBy("data").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     distinct = checkpoint(least.groupBy("data").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("data", "ids", F.array_min("ids").alias("first")))
@@ -117,7 +117,7 @@ def nearest(vectors: DataFrame, divisor: int, k: int = TOP, curves: int = CURVES
             for c in range(curves):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, np.int32)), pa.array(keys(m, c, seed), pa.binary()), b.column(1), b.column(0)], ["curve", "key", "first", "data"])
 
-    curved = distinct.select("data", "first").mapInArrow(keyed, "curve int, key binary, first long, data binary")
+    curved = distinct.select("data", "first").mapInArrow(released(keyed), "curve int, key binary, first long, data binary")
     placed = positioned(curved, "curve", "key", "first").withColumn("place", F.col("position") - F.col("curve") * n)
     window = F.floor(F.col("place") / WINDOW_ROWS).cast("int")
     last = max(0, (n - 1) // WINDOW_ROWS)
@@ -155,7 +155,7 @@ def nearest(vectors: DataFrame, divisor: int, k: int = TOP, curves: int = CURVES
         if held:
             yield from answers(held)
 
-    met = members.union(asking).repartition("curve", "window").sortWithinPartitions("curve", "window").mapInArrow(score, "query long, candidate long, score double")
+    met = members.union(asking).repartition("curve", "window").sortWithinPartitions("curve", "window").mapInArrow(released(score), "query long, candidate long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
     merged = met.groupBy("query", "candidate").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     named = merged.join(distinct.select(F.col("first").alias("candidate"), "ids"), "candidate").select("query", "candidate", "score", F.explode("ids").alias("vec_id"))

@@ -6,17 +6,19 @@ segment's impact is the most that its value adds to a score, above the least tha
 can add. Segments are processed by descending impact, adding impacts and hits to the rows'
 accumulators. After any prefix, a row's score is at most
 
-    base + accumulated impact + (dimensions - hits) * next impact,
+    accumulated impact + (dimensions - hits) * next impact,
 
-and at least ``base + accumulated impact - accumulated width``, where a segment's width is its
-spread of values times the query's weight. A block's search stops when this proves that all but
-a few rows are below the k-th best lower bound; those few are rescored exactly, so the result is
-exact. Without such proof all segments are processed, and the bounds still prune.
+and at least ``accumulated impact - accumulated width``, both above the sum of what the dimensions
+add at least; a segment's width is its spread of values times the query's weight. A block's search
+stops when this proves that all but a few rows are below the k-th best lower bound; those few are
+rescored exactly, so the result is exact. Without such proof all segments are processed, and the
+bounds still prune.
 
 Defined results: a row whose vec_id is null, or whose vector is null or holds a null or
 non-finite component, takes no part; shorter vectors count as ended by zeros; an empty vector has
 score 0 with every other; a row is no candidate of its own, but repeated rows are of each other;
-an empty table gives no rows; scaled components and scores must fit in 64 bits; only ``vec_id`` and ``embedding`` are read.
+an empty table gives no rows; bounds and scores are exact up to 53 bits; only ``vec_id`` and
+``embedding`` are read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import checkpoint
+from veldra.llm.common import checkpoint, released
 
 SCALE = 1024
 TOP = 10
@@ -77,7 +79,7 @@ class Block:
         a, b = weight * self.low, weight * self.high
         most, least = np.maximum(a, b), np.minimum(a, b)
         floor = np.minimum.reduceat(least, self.first_of_dim)
-        base, impact, width = int(floor.sum()), most - floor[self.dim], most - least
+        impact, width = most - floor[self.dim], most - least
         by_impact = np.argsort(-impact, kind="stable")
         sizes = np.diff(self.start)[by_impact]
         done_at = np.cumsum(sizes)
@@ -141,7 +143,7 @@ def _packed(vectors: DataFrame, scale: int) -> DataFrame:
             yield block()
 
     vector = F.col("embedding").cast("array<double>")
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).mapInArrow(run, "block long, rows int, dims int, ids binary, data binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).mapInArrow(released(run), "block long, rows int, dims int, ids binary, data binary")
 
 
 def _queries(blocks: DataFrame, divisor: int) -> DataFrame:
@@ -155,7 +157,7 @@ def _queries(blocks: DataFrame, divisor: int) -> DataFrame:
                 at = np.flatnonzero(ids % divisor == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), name)), pa.array(at), pa.array([v[i].tobytes() for i in at], pa.binary())], ["id", "home", "row", "vector"])
 
-    return blocks.mapInArrow(run, "id long, home long, row long, vector binary")
+    return blocks.mapInArrow(released(run), "id long, home long, row long, vector binary")
 
 
 def top_k(vectors: DataFrame, divisor: int, k: int = TOP, scale: int = SCALE) -> DataFrame:
@@ -196,6 +198,6 @@ def top_k(vectors: DataFrame, divisor: int, k: int = TOP, scale: int = SCALE) ->
                 made = np.concatenate(out, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in made], ["query_id", "home", "row", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, home long, row long, vec_id long, score long")
+    found = pairs.mapInArrow(released(run), "query_id long, home long, row long, vec_id long, score long")
     order = Window.partitionBy("home", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import checkpoint, text_or_empty
+from veldra.llm.common import checkpoint, released, text_or_empty
 from veldra.llm.ranking import positioned
 from veldra.llm.word_bpe import word_tokenizer
 
@@ -188,7 +188,7 @@ def _tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
         tokenizer.forget()
 
     text = text_or_empty()
-    made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, schema)
+    made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(released(run), schema)
     return made.withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -264,10 +264,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             picked = pa.array(rows, id_type)
             yield pa.RecordBatch.from_arrays([b.column(0).take(picked), b.column(1).take(picked), pa.array(where, pa.list_(pa.int64()))], ["cut_id", "cut_hash", "cuts"])
 
-    whole = ranked.mapInArrow(pieces, schema)
+    whole = ranked.mapInArrow(released(pieces), schema)
     if not total:
         return whole
-    cut = ranked.select("doc_id", "text_hash", "rest", "position").where("rest > 0").mapInArrow(cut_rows, docs.select(F.col("doc_id").alias("cut_id")).schema.add("cut_hash", "long").add("cuts", T.ArrayType(T.LongType())))
+    cut = ranked.select("doc_id", "text_hash", "rest", "position").where("rest > 0").mapInArrow(released(cut_rows), docs.select(F.col("doc_id").alias("cut_id")).schema.add("cut_hash", "long").add("cuts", T.ArrayType(T.LongType())))
     cut = checkpoint(cut)
     keys = cut.select("cut_id", "cut_hash").distinct()
     small = total // window + 16 <= BROADCAST_ROWS
@@ -295,4 +295,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, id_type)), *[pa.array(table[:, c]) for c in range(6)]], names)
         tokenizer.forget()
 
-    return whole.unionByName(both.mapInArrow(again, schema))
+    return whole.unionByName(both.mapInArrow(released(again), schema))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import checkpoint, free_name, text_or_empty
+from veldra.llm.common import checkpoint, free_name, release, settle, text_or_empty
 from veldra.llm.labelled import SAMPLE, logistic, sample
 
 #: A document is rejected if its probability of being good is below this.
@@ -84,7 +84,9 @@ def _udf(model: Classifier | None):
     import pandas as pd
 
     def run(texts: pd.Series) -> pd.Series:
+        settle()
         rows = [features(x) for x in texts]
+        release()
         return pd.Series(rows if model is None else model.logits(np.array(rows).reshape(len(rows), -1)))
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import checkpoint
+from veldra.llm.common import checkpoint, released
 
 
 def positioned(df: DataFrame, *order: str, sums: tuple[str, ...] = ()) -> DataFrame:
@@ -39,7 +39,7 @@ def positioned(df: DataFrame, *order: str, sums: tuple[str, ...] = ()) -> DataFr
                 totals[name] += int(own.sum())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    local = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
+    local = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(released(run), schema))
     ends = local.groupBy("part__").agg(F.count("*").alias("n"), *[F.sum(x).alias(x) for x in sums]).orderBy("part__").collect()
     shifts, at = [], [0] * (1 + len(sums))
     for row in ends:

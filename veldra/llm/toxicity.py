@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import checkpoint, text_or_empty
+from veldra.llm.common import checkpoint, release, released, settle, text_or_empty
 from veldra.llm.labelled import SAMPLE, sample
 
 #: A document is toxic if the probability of grade 1 or more is at least this.
@@ -150,7 +150,7 @@ def _words(rows: DataFrame) -> DataFrame:
             words = [words_of(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([vote_of(w) for w in words], pa.int64()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "label", "vote", "words"])
 
-    made = rows.mapInArrow(run, "doc_id long, label int, vote long, words array<string>")
+    made = rows.mapInArrow(released(run), "doc_id long, label int, vote long, words array<string>")
     first = F.min_by(F.struct("doc_id", "words"), F.struct("doc_id", F.hash("words")))
     return made.groupBy("vote", "label").agg(first.alias("r")).select("r.doc_id", "label", "vote", "r.words")
 
@@ -161,11 +161,11 @@ def _table(rows: DataFrame, marks: Marks) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = [sorted(marks.counts(w).items()) for w in b.column(3).to_pylist()]
+            got = [sorted(marks.counts(w.as_py()).items()) for w in b.column(3)]
             pair = [pa.array([[x[c] for x in g] for g in got], pa.list_(pa.int32())) for c in range(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), *pair], ["doc_id", "vote", "label", "numbers", "counts"])
 
-    return rows.mapInArrow(run, "doc_id long, vote long, label int, numbers array<int>, counts array<int>")
+    return rows.mapInArrow(released(run), "doc_id long, vote long, label int, numbers array<int>, counts array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Ordinal:
@@ -181,11 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Ordinal:
 
     def distinct(batches):
         for b in batches:
-            for label, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = sorted({m for w in set(words) for m in marks_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), label > 0)), pa.array(found, pa.string())], ["bad", "mark"])
+            for label, words in zip(b.column(0), b.column(1), strict=True):
+                found = sorted({m for w in set(words.as_py()) for m in marks_of(w)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), label.as_py() > 0)), pa.array(found, pa.string())], ["bad", "mark"])
 
-    by_mark = got.select("label", "words").mapInArrow(distinct, "bad boolean, mark string").groupBy("mark").agg(F.count_if("bad").alias("a"), F.count_if(~F.col("bad")).alias("b"))
+    by_mark = got.select("label", "words").mapInArrow(released(distinct), "bad boolean, mark string").groupBy("mark").agg(F.count_if("bad").alias("a"), F.count_if(~F.col("bad")).alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (bad + 1 - a)) - F.log(b / (good + 1 - b))
     error = F.sqrt(1 / a + 1 / (bad + 1 - a) + 1 / b + 1 / (good + 1 - b))
@@ -212,7 +212,9 @@ def _udf(model: Ordinal):
     import pandas as pd
 
     def run(texts: pd.Series) -> pd.DataFrame:
+        settle()
         severity, p = model.assess(texts)
+        release()
         return pd.DataFrame({"severity": severity, "p_toxic": p})
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
