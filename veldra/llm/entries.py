@@ -42,7 +42,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), remember=True)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

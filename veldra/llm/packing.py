@@ -160,7 +160,7 @@ def portions(texts, chars: int = 1 << 20):
         yield some
 
 
-def _tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) -> DataFrame:
+def _tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, remember: bool) -> DataFrame:
     """``doc_id, text_hash, doc_tokens, rest, wholes, crcs, rest_crc, uid``: numbers only, no ids."""
     import pyarrow as pa
 
@@ -185,18 +185,23 @@ def _tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
             total = np.array(n, np.int64)
             columns = [b.column(0), b.column(1), pa.array(total), pa.array(total % window), pa.array(total // window), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest_crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
-        tokenizer.forget()
+        if not remember:
+            tokenizer.forget()
 
     text = text_or_empty()
     made = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(released(run), schema)
     return made.withColumn("uid", F.monotonically_increasing_id())
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: a row for each piece."""
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, remember: bool = False) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: a row for each piece.
+
+    With ``remember`` workers keep the words they know from task to task: a quarter less time, for
+    up to about 150 MB a worker that later operators go without.
+    """
     import pyarrow as pa
 
-    numbers = checkpoint(_tokenize(docs, tokenizer_path, window, end_id))
+    numbers = checkpoint(_tokenize(docs, tokenizer_path, window, end_id, remember))
     counts = {r["rest"]: r["n"] for r in numbers.groupBy("rest").agg(F.count("*").alias("n")).collect()}  # one for each length at most
     made = plan({x: n for x, n in counts.items() if x}, window)
     firsts, at = {}, 0
