@@ -13,7 +13,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import packing, pii, quality, simhash, toxicity
+from veldra.llm import near_copies, packing, pii, quality, toxicity
 from veldra.llm.common import table
 from veldra.llm.entries import WORDS, pii_key
 
@@ -30,7 +30,7 @@ def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return simhash.deduplicate(docs)
+    return near_copies.deduplicate(docs)
 
 
 def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,49 @@ def test_one_of_each_group(stages):
     assert ids(stages[3]) == sorted(least.values())
 
 
+def slow_shingles(text):
+    w = text.encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_at_lower_similarity(spark):
+    """Against all pairs: copies of 0.6 to 0.95, a large group around one text, short texts, texts without words."""
+    rng = np.random.default_rng(7)
+    texts = ["", " ", "one two", "ONE  two", "one two three"]
+    for size in (30, 60, 200, 700):
+        for changes in (0, 1, 2, 3, 5, 8):
+            base = [f"w{x}" for x in rng.integers(0, 5000, size)]
+            copy = list(base)
+            for at in rng.choice(size, changes, replace=False):
+                copy[at] = "changed"
+            texts += [" ".join(base), " ".join(copy)]
+    base = [f"h{x}" for x in rng.integers(0, 5000, 120)]
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.choice(120, 1, replace=False):
+            copy[at] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(copy))
+    order = rng.permutation(len(texts)).tolist()
+    docs = spark.createDataFrame([(i, texts[t], "en", "s", 0) for i, t in enumerate(order)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [slow_shingles(texts[t]) for t in order]
+    root, similar, far = list(range(len(sets))), 0, 0
+    fps = [slow_fingerprint(texts[t]) for t in order]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                similar, far = similar + 1, far + ((fps[i] ^ fps[j]).bit_count() > 4)
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert far > 0.5 * similar  # beyond the links of op9
+    assert ids(corpus_pipeline.distinct_documents(spark, docs, DIR)) == sorted({find(i) for i in range(len(sets))})
+
+
 def test_pseudonyms(spark, stages):
     before, after = ({r["doc_id"]: r for r in s.collect()} for s in stages[3:5])
     again = {r["doc_id"]: r["text"] for r in pii.mask(stages[3], corpus_pipeline.pii_key(spark)).collect()}

@@ -219,14 +219,19 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id, and of repeated rows one.
+    """``docs`` with one row of each component: that of the least doc_id, and of repeated rows one."""
+    return keep_staying(docs, near_duplicates(docs, distance))
+
+
+def keep_staying(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the rows that stay by ``found`` (``doc_id, text_hash, stays``), and of repeated rows one.
 
     Rows are known by doc_id and text hash. Up to BROADCAST_KEYS keys to act on are broadcast, so
     that no text is shuffled; more meet the texts by one shuffle.
     """
     key, n = free_name(docs.columns, "row_key"), free_name(docs.columns, "row_number")
     of = lambda i, h: F.struct(F.col(i).alias("i"), h.alias("h"))  # noqa: E731  in it null equals null
-    keys = near_duplicates(docs, distance).groupBy(of("doc_id", F.col("text_hash")).alias("k")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+    keys = found.groupBy(of("doc_id", F.col("text_hash")).alias("k")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
     keys = checkpoint(keys)
     acted = keys.where("not stays or n > 1")
     rows = docs.withColumn(key, of("doc_id", F.xxhash64(text_or_empty())))
