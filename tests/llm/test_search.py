@@ -95,6 +95,23 @@ def test_neighbours_recall(spark, monkeypatch):
     assert [r["vec_id"] for r in sorted(found[20], key=lambda r: r["rank"])] == [*range(20)]  # copies: least ids first
 
 
+def test_recall_in_a_group_of_nearly_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_search, "WINDOW_ROWS", 64)
+    rng = np.random.default_rng(11)
+    v, ids = vectors(6000, 64, 5).astype(np.float64), np.arange(6000)
+    v[::3] = v[0] + 1e-4 * rng.standard_normal((2000, 64))
+    v = v.astype(np.float32)
+    got = hilbert_search.nearest(frame(spark, list(zip(ids.tolist(), v.tolist(), strict=True))), 60).collect()
+    found, w, hits = {}, v.astype(np.float64), 0
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(found) == 100 and all(q % 3 == 0 for q in found)
+    for q, near in found.items():
+        rest, scores = ids[ids != q], w @ w[q]
+        hits += len(near & set(rest[np.lexsort((rest, -scores[rest]))[:20]].tolist()))
+    assert hits / 2000 >= 0.9
+
+
 def test_neighbour_edges(spark):
     got = sorted(tuple(r) for r in hilbert_search.nearest(frame(spark, EDGES), 20).collect())
     one = [(0, 1, 0, 1.0), (0, 2, 5, 0.5), (0, 3, 6, 0.5)]

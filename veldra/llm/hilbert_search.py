@@ -33,6 +33,8 @@ TOP = 20
 CURVES = 8
 AXES = 12
 BITS = 6
+#: Bits that order the rows of a cell, so that groups of nearly equal vectors are ordered by each curve too.
+FINE = 18
 REACH = 0.08
 WINDOW_ROWS = 4096
 SEED = 20
@@ -74,13 +76,13 @@ def projection(dims: int, curve: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return q, rng.random(q.shape[1])
 
 
-def keys(v: np.ndarray, curve: int, seed: int, bits: int = BITS) -> list[bytes]:
-    """Of unit vectors' projections: a cell is as wide as the spread over 2**bits, whatever the rows."""
+def keys(v: np.ndarray, curve: int, seed: int, bits: int = BITS, fine: int = FINE) -> list[bytes]:
+    """Of unit vectors' projections: a cell is as wide as the spread over 2**bits, whatever the rows, and is cut 2**fine times itself."""
     axes, shift = projection(v.shape[1], curve, seed)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     spread = 6 / np.sqrt(max(v.shape[1], 36))
-    cells = np.floor(((unit @ axes) / (2 * spread) + 0.5) * ((1 << bits) - 1) + shift)
-    return [x.tobytes() for x in hilbert(np.clip(cells, 0, (1 << bits) - 1), bits)]
+    cells = np.floor((((unit @ axes) / (2 * spread) + 0.5) * ((1 << bits) - 1) + shift) * (1 << fine))
+    return [x.tobytes() for x in hilbert(np.clip(cells, 0, (1 << bits + fine) - 1), bits + fine)]
 
 
 def nearest(vectors: DataFrame, divisor: int, k: int = TOP, curves: int = CURVES, reach: float = REACH, seed: int = SEED) -> DataFrame:
