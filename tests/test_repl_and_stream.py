@@ -26,9 +26,9 @@ def test_select_over_a_stream(spark, engine, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, 5.0), (2, 50.0)], "uid int, value double").write.parquet(source)
     engine.register_frame("events", spark.readStream.schema("uid int, value double").parquet(source))
-    engine.sql("CREATE TABLE users (id INTEGER, name VARCHAR(9));")
-    engine.sql("INSERT INTO users VALUES (1, 'a'), (2, 'b');")
-    query = write(engine, "SELECT name, value FROM events JOIN users ON uid = id WHERE value > 10.0;", str(tmp_path / "progress")).format("memory").queryName("seen").start()
+    engine.sql("CREATE TABLE makers (id INTEGER, name VARCHAR(9));")
+    engine.sql("INSERT INTO makers VALUES (1, 'a'), (2, 'b');")
+    query = write(engine, "SELECT name, value FROM events JOIN makers ON uid = id WHERE value > 10.0;", str(tmp_path / "progress")).format("memory").queryName("seen").start()
     query.processAllAvailable()
     query.stop()
     assert [tuple(r) for r in spark.table("seen").collect()] == [("b", 50.0)]

@@ -31,10 +31,8 @@ def test_query(spark, duck, name):
     assert rows(frame.columns, frame.collect()) == rows([d[0] for d in cursor.description], cursor.fetchall())
 
 
-def test_all_queries_have_sql_or_run(spark):
-    rest = set(workload.queries()) - set(workload.oracle_sql())
-    assert rest == {"explain_join"}
-    assert workload.explain_join(spark, DIR).count() > 3
+def test_all_queries_have_sql():
+    assert set(workload.queries()) == set(workload.oracle_sql())
 
 
 def test_entry(spark):

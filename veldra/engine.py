@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from veldra.dialect import nodes as N
 from veldra.dialect import parse
-from veldra.errors import CatalogError, EngineError, ExecutionError
+from veldra.errors import AnalysisError, CatalogError, EngineError, ExecutionError
 from veldra.operators import change, select
 from veldra.plans import access
 from veldra.sources.catalog import Catalog, Column, Index, Table
@@ -22,6 +22,8 @@ from veldra.types import SPARK_TYPE, show_value
 
 
 log = logging.getLogger("veldra")
+#: Rows that ``lines`` and ``show`` print at most, unless told otherwise.
+SHOWN = 1000
 
 
 def _reason(e: PySparkException) -> str:
@@ -30,7 +32,7 @@ def _reason(e: PySparkException) -> str:
 
 @dataclass
 class Result:
-    """Of one statement. ``frame`` is lazy; only ``collect`` and ``show`` run it."""
+    """Of one statement. ``frame`` is lazy; only ``collect``, ``lines`` and ``show`` run it."""
 
     success: bool
     message: str = ""
@@ -45,8 +47,8 @@ class Result:
         except PySparkException as e:
             raise ExecutionError(_reason(e)) from e
 
-    def lines(self) -> Iterator[str]:
-        """As the console prints it."""
+    def lines(self, limit: int = SHOWN) -> Iterator[str]:
+        """As the console prints it, up to ``limit`` rows; the driver gets one more at most."""
         if not self.success:
             yield f"Error: {self.message}"
             return
@@ -54,12 +56,16 @@ class Result:
             yield self.message
             return
         try:
-            yield from print_rows(self.column_names, self.collect())
-        except ExecutionError as e:
-            yield f"Error: {e}"
+            rows = self.query.ordered().limit(limit + 1).collect()
+        except PySparkException as e:
+            yield f"Error: {_reason(e)}"
+            return
+        yield from print_rows(self.column_names, rows[:limit])
+        if len(rows) > limit:
+            yield f"Only the first {limit} rows are shown."
 
-    def show(self) -> None:
-        print("\n".join(self.lines()))
+    def show(self, limit: int = SHOWN) -> None:
+        print("\n".join(self.lines(limit)))
 
 
 def print_rows(names: list[str], rows: list[Row]) -> Iterator[str]:
@@ -79,14 +85,23 @@ class Engine:
     """Tables in one folder, and the statements on them.
 
     ``folder`` may be in any store that Spark reaches. Without one, a new folder in the session's
-    warehouse serves. ``autosave`` publishes the catalog after every statement; otherwise ``save``
-    does. ``null_mode="two_valued"`` makes comparisons with null true or false.
+    warehouse serves, and goes when the driver ends unless the catalog is saved. ``autosave``
+    publishes the catalog after every statement; otherwise ``save`` does.
+    ``null_mode="two_valued"`` makes comparisons with null true or false.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, *, null_mode: str = "three_valued", autosave: bool = False):
         self.spark, self.null_mode = spark, null_mode
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        self.catalog = Catalog(spark, folder or f"{warehouse.rstrip('/')}/veldra-{uuid.uuid4().hex}", autosave)
+        self.catalog = Catalog(spark, folder or self._own_folder(spark), autosave)
+        if folder is None:
+            self.catalog.store.forget_at_exit(self.catalog.folder)
+
+    @staticmethod
+    def _own_folder(spark: SparkSession) -> str:
+        """On a cluster the warehouse must have been chosen, for its default is a folder of one machine."""
+        if spark.sparkContext.getConf().get("spark.sql.warehouse.dir", None) is None and not spark.sparkContext.master.startswith("local"):
+            raise CatalogError("Name a folder that all machines share, or set spark.sql.warehouse.dir.")
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/veldra-{uuid.uuid4().hex}"
 
     # tables from elsewhere
 
@@ -156,6 +171,15 @@ class Engine:
             select.Lowering(scope, self.null_mode).predicate(s.where)
         return access.explain(self.catalog, s, scope, self.null_mode)
 
+    def logical_plan(self, text: str) -> str:
+        """Of a SELECT or EXPLAIN, as written: scans, join, filter and projection, before any choice of access path."""
+        s = parse(text)
+        s = s.select if isinstance(s, N.Explain) else s
+        if not isinstance(s, N.Select):
+            raise AnalysisError("Only SELECT has a logical plan")
+        select.scope_of(self.catalog, s)
+        return access.logical(s)
+
     def spark_plan(self, text: str, mode: str = "formatted") -> str:
         """What Spark will run for a SELECT, as its own EXPLAIN says."""
         frame = self.sql(text).frame

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
-from urllib.parse import unquote
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +12,14 @@ from veldra.dialect.nodes import Delete, Expression, Insert, Literal, Update
 from veldra.errors import AnalysisError
 from veldra.functions.lowering import Lowering, Typed
 from veldra.plans.scope import Scope, fields_of
-from veldra.sources.catalog import MERGE_AT, RID, Catalog, Table
+from veldra.sources.catalog import RID, Catalog, Segment, Table
 from veldra.types import Family, family_of
 
+#: Segments of one size tier, each ``TIER_BITS`` doublings wide, that an insert merges.
+MERGE_AT, TIER_BITS = 16, 4
+#: Rows of a file that merged segments are written to.
+FILE_ROWS = 1 << 20
+
 
 def own(catalog: Catalog, name: str) -> Table:
     """A managed table to change; a registered one is copied first, and the copy takes its name."""
@@ -27,10 +31,10 @@ def copy(catalog: Catalog, source: Table, name: str) -> Table:
     """Rows of ``source`` as a managed table."""
     order = F.col(f"c{RID}") if source.managed else F.monotonically_increasing_id()
     rows = catalog.scan(source).withColumn(RID, order).select(*[f"c{k}" for k in range(len(source.columns))], RID)
-    path = catalog.new_folder(name, "v")
-    rows.write.parquet(path)
-    n, last = catalog.spark.read.schema(catalog.stored(source.columns)).parquet(path).agg(F.count("*"), F.max(RID)).first()
-    made = Table(name, source.columns, source.version + 1, (path,), n, 0 if last is None else last + 1)
+    made = Table(name, source.columns, source.version + 1)
+    segment = catalog.written(made, rows)
+    last = catalog.scan(replace(made, segments=(segment,))).agg(F.max(f"c{RID}")).first()[0]
+    made = replace(made, segments=(segment,), rows=segment.rows, next_rid=0 if last is None else last + 1)
     catalog.publish(made)
     return made
 
@@ -69,44 +73,65 @@ def insert(catalog: Catalog, statement: Insert) -> int:
     for i in range(len(statement.rows)):
         own_values = values[i * width : (i + 1) * width]
         rows.append((*[float(v) if f and v is not None else v for v, f in zip(own_values, floats, strict=True)], table.next_rid + i))
-    schema = catalog.stored(table.columns)
-    path = catalog.new_folder(table.name, "v")
-    fresh: DataFrame = catalog.spark.createDataFrame(rows, schema).coalesce(1)
-    segments = (*table.segments, path)
-    if len(segments) >= MERGE_AT:
-        fresh = catalog.scan(table).toDF(*schema.names).union(fresh)
-        segments = (path,)
-    fresh.write.parquet(path)
+    fresh: DataFrame = catalog.spark.createDataFrame(rows, catalog.stored(table.columns)).coalesce(1)
+    merged = _to_merge(table.segments, len(rows))
+    if merged:
+        size = sum(s.rows for s in merged) + len(rows)
+        fresh = catalog.scan(replace(table, segments=tuple(merged))).toDF(*fresh.columns).union(fresh).coalesce(1 + size // FILE_ROWS)
+    segments = (*[s for s in table.segments if s not in merged], catalog.written(table, fresh))
     catalog.publish(replace(table, version=table.version + 1, segments=segments, rows=table.rows + len(rows), next_rid=table.next_rid + len(rows)))
     return len(rows)
 
 
+def _to_merge(segments: tuple[Segment, ...], rows: int) -> list[Segment]:
+    """What a new segment of so many rows is written together with: whenever MERGE_AT are of one size, they become one.
+
+    So a row is written again as often as the table grows by a tier, and large segments are left alone.
+    """
+    tier = lambda n: max(n, 1).bit_length() // TIER_BITS
+    out: list[Segment] = []
+    while len(same := [s for s in segments if s not in out and tier(s.rows) <= tier(rows)]) + 1 >= MERGE_AT:
+        out += same
+        rows += sum(s.rows for s in same)
+    return out
+
+
 def _scope(table: Table) -> Scope:
     return Scope(fields_of(table.name, table.types, "c"))
 
 
-def _touched(catalog: Catalog, table: Table, predicate: Column) -> dict[str, int]:
-    """Files with rows that the predicate is true for, and how many; the predicate is pushed down, so statistics skip most others."""
-    by_file = catalog.scan(table).where(predicate).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
-    return {r["file"]: r["n"] for r in by_file.collect()} if table.segments else {}
+@dataclass(frozen=True)
+class Touched:
+    """A file of a segment, and how many of its rows a predicate is true for."""
+
+    folder: str
+    file: str
+    rows: int
 
 
-def _replaced(catalog: Catalog, table: Table, files: list[str], rows: Callable[[DataFrame], DataFrame]) -> tuple[str, ...]:
-    """Segments with the rows of ``files`` written anew and all other files as they are."""
-    path = catalog.new_folder(table.name, "v")
-    schema = catalog.stored(table.columns)
-    rows(catalog.scan(replace(table, segments=tuple(files)))).toDF(*schema.names).write.parquet(path)
-    gone, kept = {_key(f) for f in files}, []
-    for segment in table.segments:
-        own = [f for f in catalog.files(segment) if _key(f) not in gone]
-        whole = catalog.files(segment)
-        kept += [segment] if len(own) == len(whole) else own
-    return (*kept, path)
+def _touched(catalog: Catalog, table: Table, predicate: Column) -> list[Touched]:
+    """Files with hits, and those only; the predicate is pushed down, so statistics skip most others."""
+    if not table.segments:
+        return []
+    of = lambda k: F.regexp_extract(F.input_file_name(), "([^/]+)/([^/]+)$", k)
+    by_file = catalog.scan(table).where(predicate).groupBy(of(1).alias("folder"), of(2).alias("file")).agg(F.count("*").alias("n"))
+    return [Touched(*r) for r in by_file.collect()]
 
 
-def _key(path: str) -> str:
-    """Folder and name, which are the same however a path is written."""
-    return "/".join(unquote(path).rsplit("/", 2)[-2:])
+def _replaced(catalog: Catalog, table: Table, touched: list[Touched], rows: Callable[[DataFrame], DataFrame]) -> Table:
+    """The table with the rows of the touched files written anew as a segment; all other files stay."""
+    files, folders = [t.file for t in touched], {t.folder for t in touched}
+    made = catalog.written(table, rows(catalog.scan(table, only=files)))
+    without, kept = {*table.without, *files}, []
+    for s in table.segments:
+        own = {p.rsplit("/", 1)[-1] for p in catalog.store.children(s.path) if p.endswith(".parquet")} if s.path.rsplit("/", 1)[-1] in folders else set()
+        if own and own <= without:
+            without -= own
+        else:
+            kept.append(s)
+    if not made.rows:
+        catalog.store.delete(made.path)
+    return replace(table, version=table.version + 1, segments=(*kept, *([made] if made.rows else [])), without=tuple(sorted(without)))
 
 
 def update(catalog: Catalog, statement: Update, null_mode: str = "three_valued") -> int:
@@ -126,9 +151,8 @@ def update(catalog: Catalog, statement: Update, null_mode: str = "three_valued")
     touched = _touched(catalog, table, predicate)
     if touched:
         columns = [F.when(hit, new[k].column.cast(c.kind)).otherwise(F.col(f"c{k}")).alias(f"c{k}") if k in new else F.col(f"c{k}") for k, c in enumerate(table.columns)]
-        segments = _replaced(catalog, table, list(touched), lambda rows: rows.select(*columns, f"c{RID}"))
-        catalog.publish(replace(table, version=table.version + 1, segments=segments))
-    return sum(touched.values())
+        catalog.publish(_replaced(catalog, table, touched, lambda rows: rows.select(*columns, f"c{RID}")))
+    return sum(t.rows for t in touched)
 
 
 def delete(catalog: Catalog, statement: Delete, null_mode: str = "three_valued") -> int:
@@ -136,13 +160,13 @@ def delete(catalog: Catalog, statement: Delete, null_mode: str = "three_valued")
     table = catalog.table(statement.table)
     if statement.where is None:
         n = catalog.count(table)
-        catalog.publish(replace(table, version=table.version + 1, segments=(), rows=0, path=None, frame=None))
+        catalog.publish(replace(table, version=table.version + 1, segments=(), without=(), rows=0, path=None, frame=None, seen=None))
         return n
     predicate = Lowering(_scope(table), null_mode).predicate(statement.where)
     table = own(catalog, statement.table)
     touched = _touched(catalog, table, predicate)
-    gone = sum(touched.values())
+    gone = sum(t.rows for t in touched)
     if touched:
-        segments = _replaced(catalog, table, list(touched), lambda rows: rows.where(~F.coalesce(predicate, F.lit(False))))
-        catalog.publish(replace(table, version=table.version + 1, segments=segments, rows=table.rows - gone))
+        made = _replaced(catalog, table, touched, lambda rows: rows.where(~F.coalesce(predicate, F.lit(False))))
+        catalog.publish(replace(made, rows=table.rows - gone))
     return gone

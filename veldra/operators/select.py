@@ -51,9 +51,7 @@ def build(catalog: Catalog, select: Select, null_mode: str = "three_valued") ->
     outputs, names = _output(scope, select.columns)
     where = None if select.where is None else Lowering(scope, null_mode).predicate(select.where)
     left = catalog.table(select.table)
-    # A scan makes its index copy if need be; a join reads the whole table anyway, so it takes a copy only if there is one.
-    copied = access.index is not None and (access.kind == "IndexScan" or catalog.is_current(access.index))
-    use = lambda side, table, prefix: catalog.index_copy(access.index, prefix) if copied and access.side == side else catalog.scan(table, prefix)
+    use = lambda side, table, prefix: catalog.index_copy(access.index, prefix) if access.index is not None and access.side == side else catalog.scan(table, prefix)
     base = use("left", left, "l")
     order = [f"l{RID}"] if left.managed else []
     if select.join:

@@ -31,26 +31,26 @@ def repl(engine: Engine, lines: Iterable[str], say: Callable[[str], None] = prin
         if not line:
             continue
         command = line.lower() if not pending else ""
-        if command in ("quit", "exit", "q"):
-            engine.save()
-            say("Data saved.\nGoodbye!")
-            return
-        if command == "save":
-            engine.save()
-            say("All tables saved.")
-        elif command in ("help", "h"):
-            say(HELP)
-        elif command == "tables":
-            rows = [f"  {r['name']} ({r['row_count']} rows) - columns: {r['columns']}" for r in engine.show_tables().collect()]
-            say("\n".join(["Tables:", *rows]) if rows else "No tables.")
-        else:
-            pending += f" {line}"
-            if pending.endswith(";"):
-                try:
-                    say("\n".join(engine.sql(pending).lines()))
-                except EngineError as e:
-                    say(f"Error: {e}")
-                pending = ""
+        try:
+            if command in ("quit", "exit", "q"):
+                engine.save()
+                say("Data saved.\nGoodbye!")
+                return
+            if command == "save":
+                engine.save()
+                say("All tables saved.")
+            elif command in ("help", "h"):
+                say(HELP)
+            elif command == "tables":
+                rows = [f"  {r['name']} ({r['row_count']} rows) - columns: {r['columns']}" for r in engine.show_tables().collect()]
+                say("\n".join(["Tables:", *rows]) if rows else "No tables.")
+            else:
+                pending += f" {line}"
+                if pending.endswith(";"):
+                    text, pending = pending, ""
+                    say("\n".join(engine.sql(text).lines()))
+        except EngineError as e:
+            say(f"Error: {e}")
     say("Goodbye!")
 
 
