@@ -11,14 +11,18 @@ SAMPLE = 6000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE) -> DataFrame:
-    """``doc_id, label, text`` of the documents that the sample's labels name.
+    """``doc_id, label, text`` of the documents that the sample's labels name, at most ``rows``.
 
-    Rows without doc_id or label are passed over; of several labels of one document the greatest counts.
+    Rows without doc_id or label are passed over; of several labels of one document the greatest
+    counts, and of several rows of one doc_id that of the least hash of its text.
     """
     named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     picked = named.select(F.col("doc_id").cast("long").alias("picked"), "label").join(docs.select(F.col("doc_id").cast("long").alias("picked")).distinct(), "picked", "left_semi")
     picked = picked.orderBy(F.xxhash64("picked"), "picked").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("doc_id", "label", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("r"))
+    met = known.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"))
+    return met.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("r").alias("r")).select("doc_id", "label", "r.text")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
