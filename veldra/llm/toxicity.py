@@ -10,11 +10,17 @@ mark. Of copies of a document (by the least hash of its runs of four words) one
 large group of copies doesn't make its common words look toxic.
 
 Grades: if the labels have more than two values, they are the grades. With only 0 and 1, toxic
-rows are graded 1 to 3 by thirds of their numbers of marked words.
+rows are graded 1 to 3 by thirds of their log odds under a model of two grades, fitted with marks
+of its own on the other half of the sample (copies fall into one half). So no document is graded by
+a model that has seen it, and the thresholds aren't cuts of a feature. Expected severity then says
+how strongly others' labels speak for toxicity, on a scale from 0 to 3.
 
 Defined results: a null text is empty; an empty text has the grade of a text without marked
-words; without labels of both kinds every document has expected grade 0 and isn't toxic; repeated
-rows count and are scored each; a null doc_id stays null; other columns play no part.
+words; texts of any length are read whole; a probability equal to ``TOXIC`` is toxic; equal
+log odds have equal grades; without labels of both kinds, or without any mark, every document has
+expected grade 0 and isn't toxic; repeated rows count and are scored each; of several rows of a
+labelled doc_id one is learnt from; a null doc_id stays null; an empty table gives no rows; only
+``doc_id`` and ``text`` are read, and other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +40,6 @@ from veldra.llm.labelled import SAMPLE, sample
 
 #: A document is toxic if the probability of grade 1 or more is at least this.
 TOXIC = 0.5
-#: Marks at most, of the most significant log odds.
-VOCABULARY = 2000
 #: Lengths of beginnings; they end with a star, which no word has.
 BEGINNINGS = range(3, 9)
 #: Toxic documents, and share of them, that a mark needs; log odds, and standard errors that they must exceed.
@@ -110,35 +114,63 @@ class Ordinal:
         return above.sum(axis=1), above[:, 0]
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int, penalty: float = 3e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and ordered thresholds that maximize the penalized likelihood, by Adam on all rows."""
+@dataclass
+class Sparse:
+    """Rows of few features: entry k stands in ``row[k]``, ``column[k]``."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * g[self.row], self.shape[1])
+
+
+def sparse(x: np.ndarray) -> Sparse:
+    row, column = np.nonzero(x)
+    return Sparse(row, column, x[row, column], x.shape)
+
+
+def cuts_of(raw: np.ndarray) -> np.ndarray:
+    """Thresholds in order: the first one, and steps whose softplus is above zero."""
+    return raw[0] + np.concatenate([[0.0], np.cumsum(np.log1p(np.exp(raw[1:])))])
+
+
+def likelihood(theta: np.ndarray, x: Sparse, grades: np.ndarray, levels: int, penalty: float) -> tuple[float, np.ndarray]:
+    """Mean log likelihood less the penalty, and its gradient by weights and raw thresholds."""
     n, d = x.shape
-    share = np.array([(grades <= k).mean() for k in range(levels - 1)])
-    start = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
-    steps_up = np.maximum(np.diff(start), 0.1)
-    theta = np.concatenate([np.zeros(d), start[:1], np.log(np.expm1(steps_up))])
+    w, raw, rows = theta[:d], theta[d:], np.arange(n)
+    cuts = np.concatenate([[-np.inf], cuts_of(raw), [np.inf]])
+    z = x.times(w)
+    hi, lo = (1 / (1 + np.exp(-np.clip(c - z, -40, 40))) for c in (cuts[grades + 1], cuts[grades]))
+    p = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    by_cut = np.zeros((n, levels + 1))
+    by_cut[rows, grades + 1] += dhi
+    by_cut[rows, grades] -= dlo
+    cut_gradient = by_cut.mean(axis=0)[1:levels]
+    later = np.cumsum(cut_gradient[::-1])[::-1]
+    gradient = np.concatenate([x.transposed_times((dlo - dhi) / n) - penalty * w, later[:1], later[1:] / (1 + np.exp(-raw[1:]))])
+    return float(np.log(p).mean() - penalty * (w @ w) / 2), gradient
+
+
+def fit_ordinal(x: Sparse, grades: np.ndarray, levels: int, penalty: float = 3e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+    """Shared weights and ordered thresholds that maximize the penalized likelihood, by Adam on all rows."""
+    d = x.shape[1]
+    share = np.clip([(grades <= k).mean() for k in range(levels - 1)], 1e-3, 1 - 1e-3)
+    start = np.log(share / (1 - share))
+    theta = np.concatenate([np.zeros(d), start[:1], np.log(np.expm1(np.maximum(np.diff(start), 0.1)))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    each = 1 / n
-    rows = np.arange(n)
     for t in range(1, steps + 1):
-        w, first, raw = theta[:d], theta[d], theta[d + 1 :]
-        up = np.log1p(np.exp(raw))
-        cuts = np.concatenate([[-np.inf], first + np.concatenate([[0.0], np.cumsum(up)]), [np.inf]])
-        z = x @ w
-        hi, lo = (1 / (1 + np.exp(-np.clip(c - z, -40, 40))) for c in (cuts[grades + 1], cuts[grades]))
-        p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        by_cut = np.zeros((n, levels + 1))
-        by_cut[rows, grades + 1] += each * dhi
-        by_cut[rows, grades] -= each * dlo
-        cut_gradient = by_cut.sum(axis=0)[1:levels]
-        later = np.cumsum(cut_gradient[::-1])[::-1]
-        gradient = np.concatenate([x.T @ (each * (dlo - dhi)) - penalty * w, later[:1], later[1:] / (1 + np.exp(-raw))])
+        _, gradient = likelihood(theta, x, grades, levels, penalty)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta = theta + 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         theta[:d] = np.maximum(theta[:d], 0)
-    up = np.log1p(np.exp(theta[d + 1 :]))
-    return theta[:d], theta[d] + np.concatenate([[0.0], np.cumsum(up)])
+    return theta[:d], cuts_of(theta[d:])
 
 
 def _words(rows: DataFrame) -> DataFrame:
@@ -155,57 +187,94 @@ def _words(rows: DataFrame) -> DataFrame:
     return made.groupBy("vote", "label").agg(first.alias("r")).select("r.doc_id", "label", "vote", "r.words")
 
 
-def _table(rows: DataFrame, marks: Marks) -> DataFrame:
-    """``doc_id, vote, label, numbers, counts`` of the marks in each row."""
+def _table(rows: DataFrame, sets: list[Marks]) -> DataFrame:
+    """``doc_id, vote, label, marks``: for each set the numbers of its marks in the row, and how often they occur."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            got = [sorted(marks.counts(w.as_py()).items()) for w in b.column(3)]
-            pair = [pa.array([[x[c] for x in g] for g in got], pa.list_(pa.int32())) for c in range(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), *pair], ["doc_id", "vote", "label", "numbers", "counts"])
+            texts = [w.as_py() for w in b.column(3)]
+            flat = [[[list(x) for x in zip(*sorted(m.counts(w).items()), strict=True)] or [[], []] for m in sets] for w in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), pa.array(flat, pa.list_(pa.list_(pa.list_(pa.int32()))))], ["doc_id", "vote", "label", "marks"])
+
+    return rows.mapInArrow(released(run), "doc_id long, vote long, label int, marks array<array<array<int>>>")
 
-    return rows.mapInArrow(released(run), "doc_id long, vote long, label int, numbers array<int>, counts array<int>")
+
+def _matrix(pairs: list, width: int) -> Sparse:
+    of = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
+    return Sparse(of, np.array([i for p in pairs for i in p[0]], np.int64), np.log1p(np.array([c for p in pairs for c in p[1]], np.float64)), (len(pairs), width))
+
+
+def _significant(a: Column, b: Column, bad: float, good: float) -> Column:
+    """Of a mark in a of the toxic and b of the other rows: its log odds are high, beyond their error."""
+    seen = a >= max(LEAST_ROWS, LEAST_SHARE * bad)
+    a, b = a + 0.5, b + 0.5
+    odds = F.log(a / (bad + 1 - a)) - F.log(b / (good + 1 - b))
+    error = F.sqrt(1 / a + 1 / (bad + 1 - a) + 1 / b + 1 / (good + 1 - b))
+    return seen & (odds >= LEAST_ODDS) & (odds > ERRORS * error)
+
+
+def graded(labels: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Labels of more than two values as they are; of two, toxic rows by thirds of their log odds."""
+    if len(np.unique(labels)) > 2:
+        return labels
+    toxic = labels > 0
+    cuts = np.quantile(odds[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
+    return np.where(toxic, 1 + (odds[:, None] > cuts[None, :]).sum(axis=1), 0)
+
+
+def crossed_odds(half: np.ndarray, toxic: np.ndarray, features: list[Sparse]) -> np.ndarray:
+    """Of each row, by the model of two grades fitted on the other half; ``features[h]`` are all rows' for the model of half h.
+
+    Zero where that half has rows of one kind only.
+    """
+    out = np.zeros(len(half))
+    for h in (0, 1):
+        own = np.flatnonzero(half == h)
+        if len(np.unique(toxic[own])) < 2:
+            continue
+        x, place = features[h], np.full(len(half), -1)
+        place[own] = np.arange(len(own))
+        mine = place[x.row] >= 0
+        weights, _ = fit_ordinal(Sparse(place[x.row[mine]], x.column[mine], x.value[mine], (len(own), x.shape[1])), toxic[own].astype(int), 2)
+        out[half != h] = x.times(weights)[half != h]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Ordinal:
-    """On at most ``rows`` labelled documents; to the driver come the marks and their counts in each."""
+    """On at most ``rows`` labelled documents; to the driver come the marks, which no row has more of than words, and their counts in each."""
     import pyarrow as pa
 
     got = checkpoint(_words(sample(docs, labels, "toxic", rows)))
-    size = {bool(r["bad"]): float(r["n"]) for r in got.groupBy((F.col("label") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
+    half = F.pmod("vote", F.lit(2)).cast("int")
+    size = {(bool(r["bad"]), r["half"]): float(r["n"]) for r in got.groupBy((F.col("label") > 0).alias("bad"), half.alias("half")).agg(F.count("*").alias("n")).collect()}
+    in_half = lambda bad, k: size.get((bad, k), 0.0)
+    bad, good = (in_half(x, 0) + in_half(x, 1) for x in (True, False))
     none = Ordinal(Marks([]), np.zeros(1), np.zeros(0))
-    if len(size) < 2:
+    if not bad or not good:
         return none
-    bad, good = size[True], size[False]
 
     def distinct(batches):
         for b in batches:
-            for label, words in zip(b.column(0), b.column(1), strict=True):
+            for label, vote, words in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 found = sorted({m for w in set(words.as_py()) for m in marks_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), label.as_py() > 0)), pa.array(found, pa.string())], ["bad", "mark"])
-
-    by_mark = got.select("label", "words").mapInArrow(released(distinct), "bad boolean, mark string").groupBy("mark").agg(F.count_if("bad").alias("a"), F.count_if(~F.col("bad")).alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (bad + 1 - a)) - F.log(b / (good + 1 - b))
-    error = F.sqrt(1 / a + 1 / (bad + 1 - a) + 1 / b + 1 / (good + 1 - b))
-    marked = by_mark.where(F.col("a") >= max(LEAST_ROWS, LEAST_SHARE * bad)).withColumn("z", odds - ERRORS * error).where((odds >= LEAST_ODDS) & (F.col("z") > 0))
-    chosen = sorted(r["mark"] for r in marked.orderBy(F.desc("z"), "mark").limit(VOCABULARY).select("mark").collect())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), label.as_py() > 0)), pa.array(np.full(len(found), vote.as_py() % 2, np.int32)), pa.array(found, pa.string())], ["bad", "half", "mark"])
+
+    each = got.select("label", "vote", "words").mapInArrow(released(distinct), "bad boolean, half int, mark string")
+    counted = each.groupBy("mark").agg(*[F.count_if(F.col("bad") == bool(x) if h is None else (F.col("bad") == bool(x)) & (F.col("half") == h)).alias(f"{'ba'[x]}{'' if h is None else h}") for x in (1, 0) for h in (None, 0, 1)])
+    tests = {"": (bad, good), "0": (in_half(True, 0), in_half(False, 0)), "1": (in_half(True, 1), in_half(False, 1))}
+    flags = [_significant(F.col(f"a{h}"), F.col(f"b{h}"), *sizes).alias(f"is{h}") for h, sizes in tests.items()]
+    flagged = counted.select("mark", *flags).where("is or is0 or is1").collect()
+    chosen, *halves = (sorted(r["mark"] for r in flagged if r[f"is{h}"]) for h in tests)
     if not chosen:
         return none
-    marks = Marks(chosen)
-    table = sorted(_table(got, marks).collect(), key=lambda r: (r["doc_id"], r["vote"], r["label"]))
-    x = np.zeros((len(table), len(chosen) + 1))
-    for i, r in enumerate(table):
-        x[i, r["numbers"]] = np.log1p(r["counts"])
+    sets = [Marks(x) for x in (chosen, *halves)]
+    table = sorted(_table(got, sets).collect(), key=lambda r: (r["doc_id"], r["vote"], r["label"]))
+    x, *others = (_matrix([r["marks"][k] for r in table], len(m.names) + 1) for k, m in enumerate(sets))
     y = np.array([r["label"] for r in table])
-    grades = y
-    if len(np.unique(y)) == 2:
-        toxic, seen = y > 0, x[:, 0]
-        cuts = np.quantile(seen[toxic], np.arange(1, GRADES) / GRADES)
-        grades = np.where(toxic, 1 + (seen[:, None] > cuts[None, :]).sum(axis=1), 0)
+    grades = graded(y, crossed_odds(np.array([r["vote"] % 2 for r in table]), y > 0, others))
     values = np.unique(grades)
-    return Ordinal(marks, *fit_ordinal(x, np.searchsorted(values, grades), len(values)))
+    return Ordinal(sets[0], *fit_ordinal(x, np.searchsorted(values, grades), len(values)))
 
 
 def _udf(model: Ordinal):
