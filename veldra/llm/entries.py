@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -23,9 +24,12 @@ def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.nearest(table(spark, sf_dir, "embeddings"), divisor=20)
 
 
+_drawn: dict[str, str] = {}
+
+
 def pii_key(spark: SparkSession) -> str:
-    """The session's secret; the default is for tests and checks only."""
-    return spark.conf.get("spark.veldra.pii.key", "not a secret")
+    """The session's ``spark.veldra.pii.key``; without one, a key drawn for this application, whose pseudonyms no other run repeats."""
+    return spark.conf.get("spark.veldra.pii.key", None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +97,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def license_sql() -> str:
-    """Containment of each template in each document, by all of their shingles."""
-    shingles = lambda name, text: f"SELECT *, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS s FROM (SELECT {name}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w"
+    """Of each template, the best of the windows of its size class, by the distinct shingles of the template in it."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    words = lambda text: f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+    shingles = "list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))"
     templates = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in TEMPLATES.items())
     return f"""
-WITH d AS ({shingles("doc_id", "text")} FROM documents)),
-t AS ({shingles("license", "text")} FROM (VALUES {templates}) x(license, text))),
-ts AS (SELECT DISTINCT license, unnest(s) AS s FROM t),
-n AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
-ds AS (SELECT doc_id, unnest(s) AS s, unnest(range(0, len(s))) AS k FROM d),
-h AS (SELECT doc_id, license, count(DISTINCT ds.s) AS hit, min(k) AS first_word FROM ds JOIN ts ON ds.s = ts.s GROUP BY doc_id, license)
-SELECT doc_id, h.license, CAST(hit AS DOUBLE) / n AS containment, first_word FROM h JOIN n ON h.license = n.license WHERE hit >= 0.8 * n
+WITH tw AS (SELECT license, {words("text")} AS w FROM (VALUES {templates}) x(license, text)),
+tl AS (SELECT license, w, least({license_scan.SHINGLE}, len(w)) AS size FROM tw),
+ts AS (SELECT DISTINCT license, size, unnest({shingles}) AS s FROM tl),
+n AS (SELECT license, count(*) AS n, CAST(1 AS BIGINT) << CAST(floor(log2(count(*))) AS INTEGER) AS step FROM ts GROUP BY license),
+dw AS (SELECT row_number() OVER () AS row_id, doc_id, {words("text")} AS w FROM documents),
+dl AS (SELECT row_id, doc_id, w, size FROM dw, (SELECT DISTINCT size FROM tl)),
+ds AS (SELECT row_id, doc_id, size, unnest({shingles}) AS s, unnest(range(0, len(w) - size + 1)) AS k FROM dl),
+hits AS (SELECT row_id, doc_id, license, n, step, ds.s, k FROM ds JOIN ts USING (size, s) JOIN n USING (license)),
+seen AS (SELECT *, unnest(range(greatest(0, CAST(ceil((k - 4 * step + 1) / step) AS BIGINT)), k // step + 1)) AS place FROM hits),
+windows AS (SELECT row_id, doc_id, license, place, CAST(count(DISTINCT s) AS DOUBLE) / n AS containment, min(k) AS first_word FROM seen GROUP BY row_id, doc_id, license, n, place),
+best AS (SELECT *, row_number() OVER (PARTITION BY row_id, license ORDER BY containment DESC, place) AS r FROM windows)
+SELECT doc_id, license, containment, first_word FROM best WHERE r = 1 AND containment >= {license_scan.CONTAINMENT}
 """
 
 
