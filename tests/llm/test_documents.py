@@ -296,9 +296,10 @@ def test_simhash_against_brute_force(spark):
     assert {k: r["component_id"] for k, r in got.items()} == {k: least[root[f]] for k, f in fps.items()}
 
 
-@pytest.mark.parametrize(("distance", "block"), [(4, 2048), (4, 20), (3, 2048), (1, 2048), (0, 2048)])
-def test_links_connect_all_close_fingerprints(spark, monkeypatch, distance, block):
+@pytest.mark.parametrize(("distance", "block", "crowd"), [(4, 2048, 64), (4, 20, 64), (4, 2048, 1e-4), (4, 20, 1e-8), (3, 2048, 64), (3, 2048, 0), (1, 2048, 64), (1, 2048, 0), (0, 2048, 64)])
+def test_links_connect_all_close_fingerprints(spark, monkeypatch, distance, block, crowd):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(distance)
     fps = [rng.getrandbits(64) for _ in range(40)]
     for k in range(400):  # clusters and chains at and just over the distance
@@ -325,6 +326,24 @@ def test_chains_cover_every_close_pair():
         assert any((x & (((1 << parts[k][1]) - 1) << parts[k][0])) == 0 for k in starts)
 
 
+def test_keys_widen_with_the_number_of_fingerprints():
+    assert [simhash.key_length(n, 4) for n in (0, 10**7, 10**8, 10**9, 10**10, 10**13)] == [2, 2, 3, 3, 4, 4]
+    assert [len(simhash.key_parts(4, k)) for k in (2, 3, 4)] == [10, 25, 75]
+    rng = random.Random(8)
+    for length in (2, 3, 4):
+        kinds = simhash.key_parts(4, length)
+        masks = [sum(((1 << w) - 1) << at for at, w in found) for found in kinds]
+        assert min(m.bit_count() for m in masks) >= 6 * (length + 1)
+        for _ in range(3000):  # every pair within the distance has a key in common
+            x = sum(1 << b for b in rng.sample(range(64), rng.randrange(5)))
+            assert any(not x & m for m in masks)
+
+
+def test_a_very_long_text():
+    text = " ".join(f"w{k % 977} q{k % 31}" for k in range(150_000))
+    assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(chain, "a long, b long")).collect()}

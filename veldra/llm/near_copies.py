@@ -1,8 +1,12 @@
-"""Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies for the pipeline: SimHash links, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates meet in MinHash bands: ``BANDS`` keys of ``ROWS`` minima each, so that a pair of the
-least similarity shares none with a probability of (1 - 0.8**5)**35 = 9e-7. Every link is then
-verified on the whole sets, so no text is taken for a copy that isn't one.
+Two texts of that similarity differ in 9.7 of 64 fingerprint bits on average, so the links of op9 (4
+bits, by pigeonring filtering) find a part of them only, and a radius that held nearly all, 19 bits,
+would leave pigeonring keys of three bits. So the links of op9 are joined by those that MinHash
+bands retrieve: ``BANDS`` keys of ``ROWS`` minima each, so that a pair of the least similarity shares
+none with a probability of (1 - 0.8**5)**35 = 9e-7. What the bands retrieve is verified on the
+whole sets, so no text is taken for a copy by them that isn't one. Groups are the components of
+both kinds of links.
 
 The texts of a key are compared pair by pair. If they are over ``SHORT``, they are first compared
 with one of them, a centre; a large group of near copies becomes one component by that, in links
@@ -10,8 +14,9 @@ as many as its texts. Those that aren't in one component then are compared pair
 
 Defined results: words are parted by white space, in lower case (ASCII) as in the fingerprints of
 op9; texts of fewer than five words are one shingle; texts without words are copies of each other;
-shingles are known by 64-bit hashes; groups are the components of the links; a null doc_id stays
-null; only ``doc_id`` and ``text`` are read.
+texts of any length are read whole; shingles are known by 64-bit hashes; of a group, the row of
+the least doc_id and text hash stays; a null doc_id stays null; an empty table gives no rows; only
+``doc_id`` and ``text`` are read, and other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,20 +92,22 @@ def _node(s: np.ndarray) -> int:
 
 
 def _read(docs: DataFrame, whole: bool) -> DataFrame:
-    """``doc_id, text_hash, node, n, hashes`` for each row: the size of the set, and its bands or the whole set."""
+    """``doc_id, text_hash, node, n, fp, hashes`` for each row: the size of the set, the fingerprint (0 if ``whole``), and the set's bands or the whole set."""
     import pyarrow as pa
 
-    schema = docs.select("doc_id").schema.add("text_hash", "long").add("node", "long").add("n", "long").add("hashes", ArrayType(LongType()))
+    schema = docs.select("doc_id").schema.add("text_hash", "long").add("node", "long").add("n", "long").add("fp", "long").add("hashes", ArrayType(LongType()))
     names = [f.name for f in schema.fields]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                sets = [shingles(x.as_py()) for x in part.column(2)]
+                texts = [x.as_py() for x in part.column(2)]
+                sets = [shingles(x) for x in texts]
                 values = [s.view(np.int64) if whole else bands(s) for s in sets]
+                fps = np.zeros(len(texts), np.int64) if whole else np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(texts)).view(np.int64)
                 hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values)))
-                columns = [part.column(0), part.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), hashes]
+                columns = [part.column(0), part.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), hashes]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     text = text_or_empty()
@@ -139,6 +146,16 @@ def _pairs(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _simhash_links(each: DataFrame) -> DataFrame:
+    """``a, b``: the links of op9, and of equal fingerprints, between nodes. A fingerprint is known by its least node."""
+    known = checkpoint(each.select("fp", "node").distinct())
+    least = known.groupBy("fp").agg(F.min("node").alias("least"))
+    same = known.join(least, "fp").where("node <> least").select(*_pairs("node", "least"))
+    of = lambda x: least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_node"))
+    linked = simhash.links(known).join(of("a"), "a").join(of("b"), "b").where("a_node <> b_node")
+    return same.union(linked.select(*_pairs("a_node", "b_node")))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, stays``: a row for each of ``docs``; one of each group stays, that of the least doc_id and text_hash."""
     each = checkpoint(_read(docs, False))
@@ -156,7 +173,7 @@ def groups(docs: DataFrame) -> DataFrame:
     other = few.select("key", F.col("node").alias("other"), F.col("n").alias("on"))
     paired = few.join(other, "key").where((F.col("node") < F.col("other")) & _sized("n", "on"))
     pairs = paired.select(*_pairs("node", "other")).union(starred.select(*_pairs("node", "other"))).distinct()
-    roots = checkpoint(connected(_verified(checkpoint(pairs), sets)))
+    roots = checkpoint(connected(_verified(checkpoint(pairs), sets).union(_simhash_links(each))))
     # of crowded keys, what isn't in one component yet
     apart = checkpoint(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     several = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")

@@ -5,14 +5,19 @@ in over half of the hashes. Two fingerprints link at ``distance`` or fewer diffe
 
 Pigeonring: the bits are cut into ``distance + 1`` segments on a ring. If two fingerprints differ
 in at most ``distance`` bits, some segment starts a chain in which, for every length l, the first
-l segments differ in at most floor(l * distance / (distance + 1)) bits. So the first segment is
-equal, and of the second at most one bit differs: one of its halves is equal. First segment and
-half make the key by which candidates meet; the further budgets of the chain prune them before
-the full Hamming check. Every pair within the distance meets under some key, so no link is lost.
+l segments differ in at most floor(l * distance / (distance + 1)) = l - 1 bits. So the first segment
+is equal, and of the second at most one bit differs: one of its halves is equal. A key is made of
+what is equal in the first two, three or four segments of a chain, for each way of spending the
+budgets: 2, 5 or 15 keys a chain, of about 19, 26 or 32 bits. The number of fingerprints decides
+how many segments, so that a key has few at any size (``CROWD``). The further budgets of the chain
+prune candidates before the full Hamming check. Every pair within the distance meets under some
+key, so no link is lost.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; texts of
-fewer than four words are one shingle; repeated rows each give a row; a null doc_id stays null
-and is never a component's id unless all its rows have none; only ``doc_id`` and ``text`` are read.
+fewer than four words are one shingle; texts of any length are read whole, ``CHUNK`` shingles at a
+time; repeated rows each give a row; a null doc_id stays null and is never a component's id unless
+all its rows have none; an empty table gives no rows; only ``doc_id`` and ``text`` are read, and other
+columns of the rows that stay are as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ BLOCK = 2048
 CHUNK = 1 << 16
 #: Keys of rows to drop that are broadcast at most.
 BROADCAST_KEYS = 200_000
+#: Keys are made of more segments when one would have more fingerprints than this on average.
+CROWD = 64
 #: Up to this many fingerprints of a key are compared by shifts, more by search.
 SHORT_RUN = 24
 
@@ -93,15 +100,52 @@ def _bits(at: int, width: int) -> Column:
     return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _keys(distance: int) -> Column:
-    """Array of keys: number of start and half in the low bits, first segment and half above them."""
+def spendings(length: int) -> list[tuple[int, ...]]:
+    """Most differing bits of the second to the ``length``-th segment of a chain, in every way that uses the budgets up.
+
+    What differs in a chain is in each segment at most what one of these allows.
+    """
+    out: list[tuple[int, ...]] = [()]
+    for k in range(1, length):
+        out = [(*x, n) for x in out for n in range(k - sum(x) + 1)]
+    return [x for x in out if sum(x) == length - 1]
+
+
+def key_parts(distance: int, length: int) -> list[list[tuple[int, int]]]:
+    """For each key of each chain in turn, the (first bit, width) of what must be equal.
+
+    A segment with no differing bit is equal; of one with a single bit one half is; others say nothing.
+    """
     parts, out = segments(distance), []
-    for i, (at, width) in enumerate(parts):
-        nxt, wide = parts[(i + 1) % len(parts)]
-        low = wide // 2
-        for h, (start, size) in enumerate([(nxt, low), (nxt + low, wide - low)]):
-            key = _bits(at, width) * (1 << size) + _bits(start, size)
-            out.append(key * (2 * len(parts)) + (2 * i + h))
+    for i in range(len(parts)):
+        for spent in spendings(length):
+            found = [[parts[i]]]
+            for k, n in enumerate(spent, 1):
+                at, width = parts[(i + k) % len(parts)]
+                low = width // 2
+                ways = [[(at, width)]] if n == 0 else [[(at, low)], [(at + low, width - low)]] if n == 1 else [[]]
+                found = [f + w for f in found for w in ways]
+            out += found
+    return out
+
+
+def key_length(fingerprints: int, distance: int) -> int:
+    """Segments of a chain that the keys look at."""
+    length = 2
+    while length < min(4, distance + 1) and fingerprints > CROWD * 2 ** min(sum(w for _, w in p) for p in key_parts(distance, length)):
+        length += 1
+    return length
+
+
+def _keys(distance: int, length: int) -> Column:
+    """Array of keys: the number of the key in the low bits, the equal bits above them."""
+    kinds = key_parts(distance, length)
+    out = []
+    for number, found in enumerate(kinds):
+        key = F.lit(0).cast("long")
+        for at, width in found:
+            key = key * (1 << width) + _bits(at, width)
+        out.append(key * len(kinds) + number)
     return F.array(*out)
 
 
@@ -128,17 +172,17 @@ def _search(fps: np.ndarray, chain: list[tuple[np.uint64, int]], out: list[np.nd
                 rest = np.delete(rest, near)
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, chains: list, out: list[np.ndarray]) -> None:
-    """Of whole runs of equal keys, sorted."""
-    kinds = 2 * len(chains)
+def _links(keys: np.ndarray, fps: np.ndarray, chains: list, kinds: int, out: list[np.ndarray]) -> None:
+    """Of whole runs of equal keys, sorted; ``kinds`` is the number of keys of all chains."""
+    each = kinds // len(chains)
     edges = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
     sizes = ends - starts
     for s, e in zip(starts[sizes > SHORT_RUN], ends[sizes > SHORT_RUN], strict=True):
-        _search(np.unique(fps[s:e]), chains[int(keys[s] % kinds) // 2], out)
+        _search(np.unique(fps[s:e]), chains[int(keys[s] % kinds) // each], out)
     short = np.repeat(sizes <= SHORT_RUN, sizes)
     keys, fps = keys[short], fps[short]
-    start_of = (keys % kinds) // 2
+    start_of = (keys % kinds) // each
     for d in range(1, SHORT_RUN):
         same = np.flatnonzero(keys[d:] == keys[:-d])
         if not len(same):
@@ -162,7 +206,10 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if not distance:
         return fps.sparkSession.createDataFrame([], "a long, b long")
     chains = [chain_masks(i, distance) for i in range(distance + 1)]
-    keyed = fps.select("fp").distinct().select("fp", F.explode(_keys(distance)).alias("key"))
+    distinct = fps.select("fp").distinct()
+    length = key_length(distinct.count(), distance)
+    kinds = len(key_parts(distance, length))
+    keyed = distinct.select("fp", F.explode(_keys(distance, length)).alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = keyed.join(crowded, "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -187,7 +234,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if now.shape[1] > 1:
             edges = np.flatnonzero((np.diff(now[1:3], axis=1) != 0).any(axis=0)) + 1
             for part in np.split(now, edges, axis=1) if len(edges) else [now]:
-                _links(part[0], part[3].view(np.uint64) if part[3].flags.c_contiguous else np.ascontiguousarray(part[3]).view(np.uint64), chains, out)
+                _links(part[0], part[3].view(np.uint64) if part[3].flags.c_contiguous else np.ascontiguousarray(part[3]).view(np.uint64), chains, kinds, out)
         if out:
             pairs = np.concatenate(out, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], ["a", "b"])
