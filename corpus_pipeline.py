@@ -2,19 +2,19 @@
 
 Each stage works on all its predecessor kept; its decisions take effect. Between stages the rows
 are written as Parquet and read again, which cuts the lineage and survives lost executors. All
-stages but the last return the columns of ``documents``.
+stages but the last return the columns of ``documents``. A stage's rows go when the next one's are
+written, and the last ones, which the result may still read, when the driver ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veldra.llm import near_copies, packing, pii, quality, toxicity
-from veldra.llm.common import table
+from veldra.llm.common import remove, remove_at_exit, shared_folder, table
 from veldra.llm.entries import WORDS, pii_key
 
 
@@ -29,7 +29,7 @@ def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies: by the fingerprints of op9, and by similarity of the whole texts."""
     return near_copies.deduplicate(docs)
 
 
@@ -57,12 +57,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each one's rows written in the shared folder and read by the next."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veldra-pipeline-")
+    shared = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, shared)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{shared}/{k}-{name}")
+            docs = spark.read.parquet(f"{shared}/{k}-{name}")
+            if k:  # the next stage reads this one's rows only
+                remove(spark, f"{shared}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
