@@ -10,7 +10,10 @@ both kinds of links.
 
 The texts of a key are compared pair by pair. If they are over ``SHORT``, they are first compared
 with one of them, a centre; a large group of near copies becomes one component by that, in links
-as many as its texts. Those that aren't in one component then are compared pair by pair, without a limit.
+as many as its texts. Crowded keys whose texts aren't in one component then come from passages that
+many texts share. Their texts meet by prefix filtering, which is exact: with each set's shingles in
+order of rising frequency, two similar sets have one in common among their first n - 0.8 n + 1. Shared
+passages are frequent and so come last, and no key's texts are compared pair by pair.
 
 Defined results: words are parted by white space, in lower case (ASCII) as in the fingerprints of
 op9; texts of fewer than five words are one shingle; texts without words are copies of each other;
@@ -22,7 +25,7 @@ the least doc_id and text hash stays; a null doc_id stays null; an empty table g
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -156,6 +159,21 @@ def _simhash_links(each: DataFrame) -> DataFrame:
     return same.union(linked.select(*_pairs("a_node", "b_node")))
 
 
+def _prefix_pairs(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: of ``texts`` (``node, root``), those of different roots whose prefixes share a shingle, at places and of sizes that allow the similarity."""
+    p, q = SIMILAR
+    each = checkpoint(texts.join(sets, "node").select("node", "root", "n", F.explode("hashes").alias("shingle")))
+    times = each.groupBy("shingle").agg(F.count("*").alias("times"))
+    rarest = Window.partitionBy("node").orderBy("times", "shingle")
+    ranked = each.join(times, "shingle").withColumn("r", F.row_number().over(rarest))
+    prefix = checkpoint(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1) & (F.col("times") > 1)).select("node", "root", "n", "r", "shingle"))
+    other = prefix.select("shingle", F.col("node").alias("other"), F.col("root").alias("oroot"), F.col("n").alias("on"), F.col("r").alias("more"))
+    # before the first shingle that two sets have in common, neither has one of the other's
+    room = F.least(F.col("n") - F.col("r"), F.col("on") - F.col("more")) + 1
+    met = prefix.join(other, "shingle").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("oroot")) & _sized("n", "on") & (room * (p + q) >= (F.col("n") + F.col("on")) * p))
+    return met.select(*_pairs("node", "other")).distinct()
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, stays``: a row for each of ``docs``; one of each group stays, that of the least doc_id and text_hash."""
     each = checkpoint(_read(docs, False))
@@ -179,9 +197,7 @@ def groups(docs: DataFrame) -> DataFrame:
     several = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     apart = checkpoint(apart.join(several.select("key"), "key"))
     if not apart.isEmpty():
-        other = apart.select("key", F.col("node").alias("other"), F.col("n").alias("on"), F.col("root").alias("oroot"))
-        pairs = apart.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("oroot")) & _sized("n", "on"))
-        found = _verified(checkpoint(pairs.select(*_pairs("node", "other")).distinct()), sets)
+        found = _verified(checkpoint(_prefix_pairs(apart.select("node", "root").distinct(), sets)), sets)
         roots = connected(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = checkpoint(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("least")))
