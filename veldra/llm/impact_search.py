@@ -17,8 +17,9 @@ bounds still prune.
 Defined results: a row whose vec_id is null, or whose vector is null or holds a null or
 non-finite component, takes no part; shorter vectors count as ended by zeros; an empty vector has
 score 0 with every other; a row is no candidate of its own, but repeated rows are of each other;
-an empty table gives no rows; bounds and scores are exact up to 53 bits; only ``vec_id`` and
-``embedding`` are read.
+ties go to smaller ids; an empty table gives no rows. Bounds and scores are exact while a sum of products
+stays below 2**53 (components up to about a million, of 64 dimensions); components whose integers
+could give more are an error, never a wrong score. Only ``vec_id`` and ``embedding`` are read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
 #: Quantised values of a dimension in a block, at most: half of equal numbers of rows, half of equal ranges.
 LEVELS = 48
+#: Integers below it, and sums of them, are exact as doubles too.
+EXACT = 2**53
 #: Prefixes of the postings after which the bounds are tested.
 TESTS = (0.25, 0.5, 0.75, 1.0)
 #: Candidates that may be left to rescore when the search stops.
@@ -47,6 +50,7 @@ class Block:
 
     def __init__(self, v: np.ndarray):
         self.v = v
+        self.most = int(np.abs(v).max()) if v.size else 0
         n, d = v.shape
         lows, highs, dims, starts, order = [], [], [], [], []
         at = 0
@@ -72,6 +76,8 @@ class Block:
     def search(self, q: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best and their exact scores; ``skip`` is left out (-1: none)."""
         n, d = self.v.shape
+        if d * self.most * int(np.abs(q).max(initial=0)) >= EXACT:
+            raise OverflowError("components are too large for exact scores")
         if not d:
             rows = np.arange(n)
             return rows[rows != skip], np.zeros(n - (0 <= skip < n), np.int64)
@@ -135,7 +141,10 @@ def _packed(vectors: DataFrame, scale: int) -> DataFrame:
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
-                data.append(np.floor(scale * np.array(x, np.float64)).astype(np.int64))
+                whole = np.floor(scale * np.array(x, np.float64))
+                if np.abs(whole).max(initial=0) >= EXACT:
+                    raise OverflowError("a component is too large for exact scores")
+                data.append(whole.astype(np.int64))
                 if len(ids) == BLOCK_ROWS:
                     yield block()
                     k, ids, data = k + 1, [], []
