@@ -74,6 +74,47 @@ def test_hilbert_curve_is_a_walk():
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_components_too_large_for_exact_scores(spark):
+    for rows in ([(0, [1e17, 1.0]), (1, [-1.0, 1.0])], [(0, [3e5] * 64), (1, [3e5] * 64)]):
+        with pytest.raises(Exception, match="too large"):
+            impact_search.top_k(frame(spark, rows), 100).collect()
+    assert [tuple(r) for r in impact_search.top_k(frame(spark, [(0, [2000.0]), (1, [-2000.0])]), 100).collect()] == [(0, 1, 1, -(2000 * 1024) ** 2)]
+
+
+def recall(v, found, ids):
+    hits, w = 0, v.astype(np.float32).astype(np.float64)
+    for q, near in found.items():
+        rest, scores = ids[ids != q], w @ w[q]
+        hits += len(set(near) & set(rest[np.lexsort((rest, -scores[rest]))[:20]].tolist()))
+    return hits / (20 * len(found))
+
+
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_reach_follows_the_data(spark, clusters, monkeypatch):
+    """With production parameters, over many windows: clusters need a small part of the rows, data without them a larger one."""
+    seen, measured = [], hilbert_search._measured_reach
+    monkeypatch.setattr(hilbert_search, "_measured_reach", lambda *a: seen.append(measured(*a)) or seen[-1])
+    n, ids = 20_000, np.arange(20_000)
+    v = vectors(n, 64, 8).astype(np.float64)
+    if clusters:
+        v = vectors(clusters, 64, 9)[ids % clusters] + 0.25 * v
+    got = hilbert_search.nearest(frame(spark, list(zip(ids.tolist(), v.tolist(), strict=True))), 100).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(found) == 200 and recall(v, found, ids) >= 0.9
+    rows_read = hilbert_search.CURVES * 3 * max(seen[0], hilbert_search.LEAST_WINDOW / n)
+    print("reach", seen, "rows scored a query, of all:", rows_read, "recall", recall(v, found, ids))
+    assert (rows_read < 0.5) == bool(clusters)
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.0]), (2, [0.0, 0.8])]
+    got = sorted(tuple(r) for r in hilbert_search.nearest(frame(spark, rows), 20).collect())
+    one, two = float(np.float32(0.9)), float(np.float32(0.8))
+    assert [x[2:] for x in got if x[1] == 1] == [(2, two), (1, one)] or [x[2:] for x in got if x[1] == 1] == [(1, one), (2, two)]
+
+
 def test_neighbours_recall(spark, monkeypatch):
     monkeypatch.setattr(hilbert_search, "WINDOW_ROWS", 256)
     v, ids = vectors(6000, 64, 3, copies=40).astype(np.float64), np.arange(6000)
