@@ -165,7 +165,7 @@ def nearest(vectors: DataFrame, divisor: int, k: int = TOP, curves: int = CURVES
     if reach is None:
         reach = _measured_reach(distinct.join(queries.select("first").distinct(), "first", "left_semi"), distinct, placed, matrix, n, k)
     wide = min(max(int(reach * n), LEAST_WINDOW), WINDOW_ROWS)
-    around = max(1, -(-int(reach * n) // wide))
+    around = max(1, round(reach * n / wide))
     window = F.floor(F.col("place") / wide).cast("int")
     last = max(0, (n - 1) // wide)
     visits = F.explode(F.sequence(F.greatest(window - around, F.lit(0)), F.least(window + around, F.lit(last))))
