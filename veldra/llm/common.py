@@ -50,6 +50,15 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
+def drop_unreferenced(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the files of shuffles and checkpoints that no frame refers to any more.
+
+    It learns of them when the driver collects garbage, which long runs of small jobs give no cause for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import checkpoint
+from veldra.llm.common import checkpoint, drop_unreferenced
 
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -37,3 +37,4 @@ def connected(pairs: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = seen
         now = checkpoint(_stars(_stars(now, True), False))
+        drop_unreferenced(now.sparkSession)

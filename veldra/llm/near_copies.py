@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from veldra.llm import simhash
-from veldra.llm.common import checkpoint, released, text_or_empty
+from veldra.llm.common import checkpoint, drop_unreferenced, released, text_or_empty
 from veldra.llm.components import connected
 
 SHINGLE = 5
@@ -196,6 +196,9 @@ def groups(docs: DataFrame) -> DataFrame:
     apart = checkpoint(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     several = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     apart = checkpoint(apart.join(several.select("key"), "key"))
+    # their files go, but for those of the frames that are read again
+    del shared, members, wanted, few, many, centre, starred, other, paired, pairs, several, keyed
+    drop_unreferenced(docs.sparkSession)
     if not apart.isEmpty():
         found = _verified(checkpoint(_prefix_pairs(apart.select("node", "root").distinct(), sets)), sets)
         roots = connected(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
