@@ -3,7 +3,8 @@
 Each stage works on all its predecessor kept; its decisions take effect. Between stages the rows
 are written as Parquet and read again, which cuts the lineage and survives lost executors. All
 stages but the last return the columns of ``documents``. A stage's rows go when the next one's are
-written, and the last ones, which the result may still read, when the driver ends.
+written, and the last ones, which the result may still read, when the driver ends. Batches for Python
+workers are bounded by bytes in the session (``common.small_batches``), unless it has a bound of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veldra.llm import near_copies, packing, pii, quality, toxicity
-from veldra.llm.common import remove, remove_at_exit, shared_folder, table
+from veldra.llm.common import remove, remove_at_exit, shared_folder, small_batches, table
 from veldra.llm.entries import WORDS, pii_key
 
 
@@ -59,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each one's rows written in the shared folder and read by the next."""
     shared = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     remove_at_exit(spark, shared)
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from veldra.llm.common import checkpoint, released, text_or_empty
 from veldra.llm.ranking import positioned
-from veldra.llm.word_bpe import word_tokenizer
+from veldra.llm.word_bpe import MEMO, SMALL_MEMO, word_tokenizer
 
 WINDOW = 4096
 END_ID = 2
@@ -168,7 +168,7 @@ def _tokenize(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, re
     tail, step = np.array([end_id], "<u4").tobytes(), 4 * window
 
     def run(batches):
-        tokenizer = word_tokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path, MEMO if remember else SMALL_MEMO)
 
         def encoded(texts):
             for some in portions(texts):
@@ -284,7 +284,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     tail = np.array([end_id], "<u4").tobytes()
 
     def again(batches):
-        tokenizer = word_tokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path, MEMO if remember else SMALL_MEMO)
         for b in batches:
             rows, out = [], []
             for k, (x, cuts) in enumerate(zip(b.column(1), b.column(2).to_pylist(), strict=True)):

@@ -14,6 +14,8 @@ import numpy as np
 #: Memo entries after which it is emptied, and the longest word kept; both bound memory only.
 MEMO = 500_000
 MEMO_CHARS = 48
+#: The same for workers that other operators use too.
+SMALL_MEMO = 150_000
 #: str.split() also splits at these four, which aren't white space to the tokenizer.
 _NOT_SPACE = "".join(map(chr, range(0x1C, 0x20)))
 #: Latin letters that are composed, cased and classed alike everywhere, then characters that are
@@ -31,10 +33,11 @@ class WordTokenizer:
     word ends. Words of any other make are encoded by themselves.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.memo = memo
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -69,7 +72,7 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.words
         for memo in (known, self.stems, self.marks):
-            if len(memo) > MEMO:
+            if len(memo) > self.memo:
                 memo.clear()
         self.marks[""] = b""
         rows, gaps, new = [], [], set()
@@ -120,8 +123,8 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, memo: int = MEMO) -> WordTokenizer:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordTokenizer(path)
+    return WordTokenizer(path, memo)
