@@ -160,8 +160,16 @@ def test_packing_when_nothing_fits(spark):
 
 
 def test_packing_edges(spark):
-    docs = spark.createDataFrame([(None, "a", 0), (1, None, 0), (2, "", 0), (3, "same text", 0), (3, "same text", 0)], "doc_id long, text string, length int")
+    clash = "doc_id long, text string, length int, rest string, uid int, position int, text_hash int, cuts int"
+    docs = spark.createDataFrame([(i, t, 0, "x", 0, 0, 0, 0) for i, t in [(None, "a"), (1, None), (2, ""), (3, "same text"), (3, "same text")]], clash)
     rows = packing.pack(docs, WORDS).collect()
     assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == [("1", 1), ("2", 1), ("3", 3), ("3", 3), ("None", 2)]
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 5
     assert packing.pack(docs.limit(0), WORDS).collect() == []
+
+
+def test_packing_a_very_long_text(spark):
+    texts = {0: "A long, long text; without end. " * 20_000, 1: "x" * 50_000, 2: "short"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = {k: np.array(_shared().tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4") for k, t in texts.items()}
+    assert check_packing(packing.pack(docs, WORDS).collect(), ids, 4096) == 0

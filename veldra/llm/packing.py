@@ -11,8 +11,10 @@ incomplete window is cut into sequences whose lengths are powers of two. So noth
 Only numbers go to the driver; which row fills which place follows from its rank among the rows
 of its length. Rests that the stream cuts are tokenized again for the checksums of their pieces.
 
-Defined results: a null text is empty, and an empty one is its end id alone; repeated rows are
-packed each; a null doc_id stays null; empty tables give no pieces; other columns play no part.
+Defined results: a null text is empty, and an empty one is its end id alone; texts of any length are
+packed whole; repeated rows are packed each; rests of one length are interchangeable, so which of
+them fills a place may differ between runs; a null doc_id stays null; empty tables give no pieces;
+other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

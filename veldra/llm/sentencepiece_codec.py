@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a null doc_id
-stays null; repeated rows each give a row; columns other than ``doc_id`` and ``text`` play no
-part. A white-space marker that stands in a text itself decodes to a space, as in the library.
+stays null; repeated rows each give a row; texts of any length are encoded whole; of equal scores
+the library's rule decides; an empty table gives no rows; columns other than ``doc_id`` and ``text``
+play no part, whatever their names. A white-space marker that stands in a text itself decodes to a space, as in the library.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Token counts: count-only Viterbi over Aho-Corasick matches of a unigram vocabulary.
 
 Defined results: a null or empty text has 0 tokens; a null doc_id stays null; repeated rows each
-give a row; only ``doc_id`` and ``text`` are read, so further columns play no part. Very long
+give a row; of equal scores the library's rule decides; an empty table gives no rows; only
+``doc_id`` and ``text`` are read, so further columns play no part, whatever their names. Very long
 texts are cut only where no piece can cross, so their counts are whole.
 """
 
