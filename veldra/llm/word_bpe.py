@@ -18,9 +18,10 @@ MEMO_CHARS = 48
 SMALL_MEMO = 150_000
 #: str.split() also splits at these four, which aren't white space to the tokenizer.
 _NOT_SPACE = "".join(map(chr, range(0x1C, 0x20)))
-#: Latin letters that are composed, cased and classed alike everywhere, then characters that are
-#: never letters, digits or the start of a contraction.
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+)[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*").fullmatch
+#: Latin letters that are composed, cased and classed alike everywhere, and characters that are
+#: never letters, digits or the start of a contraction; a plain word is of the first, then the others.
+_LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+").fullmatch
+_MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]+")
 
@@ -53,10 +54,10 @@ class WordTokenizer:
         return text.split()
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _encode_stems(self, stems: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")  # without offsets
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(stems) or ends[-1] != len(ids):
             return self._encode(stems)
@@ -99,12 +100,11 @@ class WordTokenizer:
         """Ids of words that aren't remembered."""
         stems, marks, made, odd, fresh, waiting = self.stems, self.marks, {}, [], set(), []
         for w in words:
-            m = _PLAIN(w)
-            if m is None:
+            letters = w.rstrip(_MARKS)
+            if not (letters.isascii() and letters.isalpha() or _LETTERS(letters)):
                 odd.append(w)
                 continue
-            end = m.end(1)
-            low, mark = w[:end].lower(), w[end:]
+            low, mark = letters.lower(), w[len(letters) :]
             stem, tail = stems.get(low), marks.get(mark)
             if tail is None:
                 tail = marks[mark] = self._encode([mark])[0]
