@@ -322,6 +322,22 @@ def test_a_file_of_many_is_replaced(spark, engine, run):
     assert run("SELECT * FROM k;") == [(-1, 3)] and not engine.catalog.table("k").without
 
 
+def test_paths_are_split_once_a_file(spark, engine, run, monkeypatch):
+    """A function of the path in every row took most of the time of a change."""
+    from pyspark.sql import functions as F
+
+    def never(*_):
+        raise AssertionError("a regular expression in every row")
+
+    engine.register_frame("r", spark.range(100).repartitionByRange(5, "id").selectExpr("cast(id as int) as a"))
+    engine.copy_table("k", "r")
+    for name in ("regexp_extract", "regexp_replace", "substring_index", "split"):
+        monkeypatch.setattr(F, name, never)
+    assert engine.sql("UPDATE k SET a = a + 7 WHERE a < 50;").message == "50 row(s) updated."
+    assert engine.sql("DELETE FROM k WHERE a >= 90 OR a < 10;").message == "13 row(s) deleted."
+    assert sorted(r[0] for r in run("SELECT a FROM k;")) == sorted(x for x in (a + 7 if a < 50 else a for a in range(100)) if 10 <= x < 90)
+
+
 def test_a_small_insert_writes_its_rows_only(spark, engine, run):
     engine.register_frame("r", spark.range(40_000).repartition(40).selectExpr("cast(id as int) as a"))
     engine.copy_table("k", "r")

@@ -113,9 +113,8 @@ def _touched(catalog: Catalog, table: Table, predicate: Column) -> list[Touched]
     """Files with hits, and those only; the predicate is pushed down, so statistics skip most others."""
     if not table.segments:
         return []
-    of = lambda k: F.regexp_extract(F.input_file_name(), "([^/]+)/([^/]+)$", k)
-    by_file = catalog.scan(table).where(predicate).groupBy(of(1).alias("folder"), of(2).alias("file")).agg(F.count("*").alias("n"))
-    return [Touched(*r) for r in by_file.collect()]
+    by_file = catalog.scan(table).where(predicate).groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("n"))
+    return [Touched(*path.rsplit("/", 2)[-2:], n) for path, n in by_file.collect()]  # paths are split once a file, not in every row
 
 
 def _replaced(catalog: Catalog, table: Table, touched: list[Touched], rows: Callable[[DataFrame], DataFrame]) -> Table:
