@@ -45,6 +45,17 @@ def test_blocks_of_rows_and_queries(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == exact(ids, np.floor(1024 * v.astype(np.float64)).astype(np.int64), 3, 10)
 
 
+def test_queries_are_never_broadcast(spark):
+    """They are repeated for every block of the index, which the driver would have to hold."""
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(300)]
+    found = impact_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), divisor=100)
+    assert found.count() == 30
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan.split("== Initial Plan ==")[0]
+
+
 def test_the_search_stops_on_proof():
     rng = np.random.default_rng(2)
     v = rng.integers(-40, 40, (4000, 24))

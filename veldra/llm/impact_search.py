@@ -175,6 +175,8 @@ def top_k(vectors: DataFrame, divisor: int, k: int = TOP, scale: int = SCALE) ->
     Queries are the rows whose id the divisor divides. They are dealt into blocks too, and every
     block of queries meets every block of the index under a key of its own, so that each meeting
     is a task of bounded size; bytes of blocks move, no pairs of rows. It gives k rows a query.
+    They meet by a shuffle at any size: Spark sees how large the queries are, not that each is
+    repeated for every block of the index, and would broadcast all of that from the driver.
     """
     import pyarrow as pa
 
@@ -186,7 +188,7 @@ def top_k(vectors: DataFrame, divisor: int, k: int = TOP, scale: int = SCALE) ->
     each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     asked = queries.groupBy(qblock.alias("qblock")).agg(F.collect_list(F.struct("id", "home", "row", "vector")).alias("q")).select("qblock", "q", each.alias("g"))
     index = blocks.select("*", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qblock"))
-    pairs = index.join(asked, ["g", "qblock"]).select("block", "rows", "dims", "ids", "data", "q.id", "q.home", "q.row", "q.vector")
+    pairs = index.join(asked.hint("merge"), ["g", "qblock"]).select("block", "rows", "dims", "ids", "data", "q.id", "q.home", "q.row", "q.vector")
 
     def run(batches):
         index, built = None, None
